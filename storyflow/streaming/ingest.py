@@ -33,7 +33,11 @@ def load_available(rows: DataFrame, tables: Tables, checkpoint: str, name: str =
     """Runs the normalising load per micro-batch. A replayed batch finds its load committed and does nothing."""
 
     def load(batch: DataFrame, number: int) -> None:
-        load_day(tables, f"{name}-{number}", batch)
+        batch.persist()
+        try:
+            load_day(tables, f"{name}-{number}", batch)
+        finally:
+            batch.unpersist()
 
     return (rows.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
