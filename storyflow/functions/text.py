@@ -14,6 +14,11 @@ ARRAY_MARK = "|||"
 DOC_SEPARATOR = "<doc-sep>"
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it in a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def ascii_only(c: Column) -> Column:
     return F.regexp_replace(c, r"[^\x00-\x7F]+", "")
 

@@ -27,9 +27,12 @@ def lexicon_hits(text: Column, lexicon: Sequence[str] = LEXICON, mode: str = "su
     key = T.headline_key(text)
     if mode == "word":
         padded = F.concat(F.lit(" "), F.array_join(T.words(key), " "), F.lit(" "))
-        return F.filter(entries, lambda k: F.contains(padded, F.concat(F.lit(" "), k, F.lit(" "))))
-    found = T.words(key)
-    return F.filter(entries, lambda k: F.array_contains(found, k) | F.contains(key, F.concat(k, F.lit(" "))))
+        return T.once(padded, lambda p: F.filter(entries, lambda k: F.contains(p, F.concat(F.lit(" "), k, F.lit(" ")))))
+    # a word equal to the entry is one that stands between blanks or at either end
+    flat = F.concat(F.lit(" "), F.regexp_replace(key, r"\s", " "), F.lit(" "))
+    found = F.struct(key.alias("key"), flat.alias("flat"))
+    return T.once(found, lambda s: F.filter(entries, lambda k: F.contains(s.key, F.concat(k, F.lit(" ")))
+                                            | (~F.contains(k, F.lit(" ")) & F.contains(s.flat, F.concat(F.lit(" "), k, F.lit(" "))))))
 
 
 def lexicon_match(texts: DataFrame, lexicon: Sequence[str] = LEXICON, mode: str = "suffix",

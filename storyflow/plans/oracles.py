@@ -21,7 +21,8 @@ TOKENS = f"regexp_extract_all(lower(text), '{TOKEN}')"
 KEY = rf"regexp_replace(lower(text), '[^{WORD}\s'']', '', 'g')"
 SPLIT = r"list_filter(regexp_split_to_array(%s, '\s+'), lambda w: w <> '')"
 PROSE = rf"""replace(regexp_replace(text, '[^{WORD}\s\p{{Z}}''"$£€;\-:.,]', '', 'g'), '  ', ' ')"""
-HITS = f"list_filter([{WORDS}], lambda k: list_contains({SPLIT % KEY}, k) OR contains({KEY}, k || ' '))"
+HITS = (f"list_transform([{{'key': {KEY}, 'ws': {SPLIT % KEY}}}], lambda s: list_filter([{WORDS}], "
+        "lambda k: list_contains(s.ws, k) OR contains(s.key, k || ' ')))[1]")
 ASOF = "TIMESTAMP '2024-01-30 12:00:00'"
 URL = "'https://' || source || '.example.org/' || doc_id"
 DATE = "DATE '2024-01-01' + CAST(doc_id % 30 AS INT)"
