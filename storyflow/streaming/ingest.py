@@ -12,7 +12,8 @@ from ..sources.tables import Tables
 
 
 def first_seen_stream(rows: DataFrame, keys: Sequence[str], ts: str, delay: str = "2 days") -> DataFrame:
-    """Drops a row whose key came less than ``delay`` before; state older than that is freed."""
+    """Drops a row whose key came less than ``delay`` before. A key is forgotten, and its state
+    freed, once the watermark has passed that time."""
     return rows.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
