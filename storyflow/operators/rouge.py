@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import text as T
+
 # Fixed value: what parts two documents in the reference text.
 MARK = "[DOC_SEP]"
 
@@ -15,8 +17,8 @@ def rouge_words(text: Column) -> Column:
 
 
 def bigrams(words: Column) -> Column:
-    pairs = F.transform(F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))),
-                        lambda w, n: F.concat(words[n], F.lit(" "), w))
+    pairs = T.once(words, lambda ws: F.transform(
+        F.slice(ws, F.lit(2), F.greatest(F.size(ws) - 1, F.lit(0))), lambda w, n: F.concat(ws[n], F.lit(" "), w)))
     return F.array_distinct(pairs)
 
 

@@ -426,9 +426,9 @@ def _collected(spark, folder) -> DataFrame:
 
 def _copy_stories(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Texts that occur more than once, as stories: weight = sources / articles."""
-    keyed = rows.select("id", "url", "source", "keywords", F.md5(T.token_stream(F.col("text")).cast("binary")).alias("key"))
+    keyed = cut(rows.select("id", "url", "source", "keywords", F.md5(T.token_stream(F.col("text")).cast("binary")).alias("key")))
     found = keyed.groupBy("key").agg(F.min("id").alias("story"), F.count("*").alias("n"), F.countDistinct("source").alias("m")).where("n > 1")
-    links = keyed.join(found, "key").select("story", "url", "keywords")
+    links = cut(keyed.join(found, "key").select("story", "url", "keywords"))
     keys = N.story_keys(links)
     words = links.select("story", F.explode("keywords").alias("keyword")).distinct()
     return (found.join(keys, "story").select("simart_id", F.round(F.col("m") / F.col("n"), 2).alias("similar_weight")),
