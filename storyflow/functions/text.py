@@ -42,17 +42,17 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, r"\s+"), lambda w: w != "")
 
 
-def token_stream(c: Column) -> Column:
-    """Lower-case tokens in order, separated by one space.
+# What parts two tokens: no word character, no hyphen inside a token.
+BETWEEN = rf"(?:[^{WORD}-]+|(?<![{WORD}-])-+|-+(?![{WORD}-]))+"
+
 
-    Runs of word characters and hyphens, which is all the token pattern can
-    match; hyphens at either end of a run are cut off in ``tokens``.
-    """
-    return F.trim(F.regexp_replace(F.lower(c), rf"[^{WORD}-]+", " "))
+def token_stream(c: Column) -> Column:
+    """Lower-case tokens in order, separated by one blank: one pass instead of a match per token."""
+    return F.trim(F.regexp_replace(F.lower(c), BETWEEN, " "))
 
 
 def tokens(c: Column, stop_words: Sequence[str] = ()) -> Column:
-    parts = F.transform(F.split(token_stream(c), " "), lambda w: F.regexp_replace(w, "^-+|-+$", ""))
+    parts = F.split(token_stream(c), " ")
     if stop_words:
         return F.filter(parts, lambda w: (w != "") & ~w.isin(*stop_words))
     return F.filter(parts, lambda w: w != "")

@@ -16,8 +16,8 @@ def _in(values) -> str:
 
 STOP = _in(STOP_WORDS)
 WORDS = _in(LEXICON)
-STREAM = f"trim(regexp_replace(lower(text), '[^{WORD}-]+', ' ', 'g'))"
 TOKENS = f"regexp_extract_all(lower(text), '{TOKEN}')"
+STREAM = f"array_to_string({TOKENS}, ' ')"
 KEY = rf"regexp_replace(lower(text), '[^{WORD}\s'']', '', 'g')"
 SPLIT = r"list_filter(regexp_split_to_array(%s, '\s+'), lambda w: w <> '')"
 PROSE = rf"""replace(regexp_replace(text, '[^{WORD}\s\p{{Z}}''"$£€;\-:.,]', '', 'g'), '  ', ' ')"""

@@ -53,7 +53,10 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     A large input already has more splits than slots and is returned as it is,
     so the shuffle is only paid by inputs too small to matter.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 2 * slots:
+    spark = df.sparkSession
+    slots = spark.sparkContext.defaultParallelism
+    per_split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= 2 * slots * per_split:
         return df
     return df.repartition(slots, *keys)
