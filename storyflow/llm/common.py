@@ -86,7 +86,7 @@ class Memo(dict):
     Long keys are worked out each time, so the memory is bounded.
     """
 
-    def __init__(self, make, size: int = 500_000, longest: int = 100):
+    def __init__(self, make, size: int = 200_000, longest: int = 100):
         super().__init__()
         self.make, self.size, self.longest, self.old = make, size, longest, {}
 
