@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import scratch_path, table
-from . import bpe, token_counts, token_file
+from . import bpe, language, page_text, token_counts, token_file
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,6 +20,12 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def predicted_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language.held_out())
+    model = language.fit(docs.where(~F.col("held_out")))
+    return language.identify(docs, model, keep=("doc_id", "held_out"))
+
+
 def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "token-file")
     token_file.write_tokens(table(spark, sf_dir, "documents"), folder, BYTE_BPE)
@@ -31,8 +37,15 @@ def count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = page_text.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
     "op1_bpe_round_trip": bpe_round_trip,
+    "op2_language": predicted_language,
     "op4_token_file": token_ids,
     "op6_token_counts": count_tokens,
+    "op9_page_text": main_texts,
 }
