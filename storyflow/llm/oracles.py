@@ -1,3 +1,38 @@
 """SQL twins, for DuckDB, of the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from .mixing import TIMES
+
+MIX = f"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, '')) AS k
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w
+  FROM d GROUP BY source),
+r AS (
+  SELECT *, row_number() OVER (ORDER BY source_size / w, source NULLS LAST) AS n, (SELECT sum(size) FROM d) AS total FROM s),
+c AS (
+  SELECT *, coalesce(sum({TIMES} * source_size) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
+         sum(w) OVER (ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights
+  FROM r),
+f AS (
+  SELECT coalesce(max(n) FILTER ((total - below) / weights * w >= {TIMES} * source_size), 0) AS n_full FROM c),
+g AS (
+  SELECT source, source_size, CASE WHEN n <= n_full THEN ({TIMES} * source_size)::DOUBLE ELSE
+    (max(total) OVER () - coalesce(sum({TIMES} * source_size) FILTER (n <= n_full) OVER (), 0))::DOUBLE
+    / (sum(w) FILTER (n > n_full) OVER ())::DOUBLE * w END AS target
+  FROM c, f),
+p AS (
+  SELECT d.*, g.source_size, g.target, least(round(g.target)::BIGINT, {TIMES} * g.source_size) AS words,
+         sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT - size AS pos
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target,
+       CASE WHEN size = 0 THEN 0 ELSE (words // source_size) * size + least(greatest(words % source_size - pos, 0), size) END::BIGINT AS taken
+FROM p
+"""
+
+ORACLES: dict[str, str] = {
+    "op5_mixing": MIX,
+}

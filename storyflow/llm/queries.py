@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import scratch_path, table
-from . import bpe, language, page_text, token_counts, token_file
+from . import bpe, language, mixing, page_text, token_counts, token_file
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -32,6 +32,10 @@ def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.documents(token_file.read_tokens(spark, folder))
 
 
+def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(*mixing.mix(table(spark, sf_dir, "documents")))
+
+
 def count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.token_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
@@ -46,6 +50,7 @@ QUERIES = {
     "op1_bpe_round_trip": bpe_round_trip,
     "op2_language": predicted_language,
     "op4_token_file": token_ids,
+    "op5_mixing": mixed_sources,
     "op6_token_counts": count_tokens,
     "op9_page_text": main_texts,
 }
