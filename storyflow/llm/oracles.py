@@ -1,5 +1,6 @@
 """SQL twins, for DuckDB, of the queries that SQL can express."""
 
+from .line_dedup import LINES, WORDS
 from .mixing import TIMES
 
 MIX = f"""
@@ -33,6 +34,47 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
+LINES_GONE = f"""
+WITH d AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id NULLS LAST, md5(coalesce(text, ''))) AS doc FROM documents),
+l AS (
+  SELECT doc, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
+k AS (
+  SELECT doc, pos, line, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words FROM l),
+s AS (
+  SELECT *, row_number() OVER (PARTITION BY doc ORDER BY pos) AS nth FROM k WHERE words > 0),
+w AS (
+  SELECT a.doc, a.nth, a.pos, n, sum(b.words) AS words, string_agg(b.line, chr(10) ORDER BY b.nth) AS run
+  FROM s a, range(1, {LINES} + 1) r(n), s b WHERE b.doc = a.doc AND b.nth BETWEEN a.nth AND a.nth + n - 1
+  GROUP BY a.doc, a.nth, a.pos, n HAVING count(*) = n AND (n = {LINES} OR sum(b.words) >= {WORDS})),
+f AS (
+  SELECT n, run, min((doc, pos)) AS first FROM w GROUP BY n, run),
+g AS (
+  SELECT DISTINCT s.doc, s.pos FROM w JOIN f USING (n, run) JOIN s ON s.doc = w.doc AND s.nth BETWEEN w.nth AND w.nth + w.n - 1
+  WHERE (w.doc, w.pos) > f.first),
+t AS (
+  SELECT l.doc, count(*) AS n_lines, count(g.pos) AS n_deleted, string_agg(line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL) AS text
+  FROM l LEFT JOIN g ON g.doc = l.doc AND g.pos = l.pos GROUP BY l.doc)
+SELECT d.doc_id, CASE WHEN coalesce(d.text, '') = '' THEN 0 ELSE n_lines END AS n_lines, coalesce(n_deleted, 0) AS n_deleted,
+       CASE WHEN d.text IS NOT NULL THEN coalesce(t.text, '') END AS text
+FROM d LEFT JOIN t ON t.doc = d.doc
+"""
+
+MAIN_TEXT = r"""
+WITH a AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') AS body FROM pages),
+b AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(body, '</?(p|h1|br)>', ' ', 'g'), '<[^>]+>', '', 'g') AS body FROM a),
+c AS (
+  SELECT page_id, url, replace(replace(replace(replace(replace(replace(body, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'),
+         '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&') AS body FROM b),
+t AS (
+  SELECT page_id, url, trim(regexp_replace(body, '[\s\x{00A0}]+', ' ', 'g')) AS text FROM c)
+SELECT page_id, url, text, length(text) AS n_chars FROM t
+"""
+
 ORACLES: dict[str, str] = {
     "op5_mixing": MIX,
+    "op7_line_dedup": LINES_GONE,
+    "op9_page_text": MAIN_TEXT,
 }

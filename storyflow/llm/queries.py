@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import scratch_path, table
-from . import bpe, language, mixing, page_text, token_counts, token_file
+from . import bpe, language, line_dedup, mixing, page_text, token_counts, token_file
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -41,6 +41,11 @@ def count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def fewer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_deleted", "text")
+
+
 def main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = page_text.extract(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -52,5 +57,6 @@ QUERIES = {
     "op4_token_file": token_ids,
     "op5_mixing": mixed_sources,
     "op6_token_counts": count_tokens,
+    "op7_line_dedup": fewer_lines,
     "op9_page_text": main_texts,
 }
