@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import scratch_path, table
-from . import bpe, language, line_dedup, mixing, page_text, token_counts, token_file
+from . import bpe, fingerprints, language, line_dedup, mixing, page_text, token_counts, token_file
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -51,6 +51,10 @@ def main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe_round_trip": bpe_round_trip,
     "op2_language": predicted_language,
@@ -59,4 +63,5 @@ QUERIES = {
     "op6_token_counts": count_tokens,
     "op7_line_dedup": fewer_lines,
     "op9_page_text": main_texts,
+    "op10_fingerprints": document_fingerprints,
 }
