@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import Memo, int_lists, kept, slices, texts
+from .common import Memo, coded, int_lists, kept, slices, spliced, strings
 
 SHORT = 100  # parts; longer words go through the heap
 NEVER = 1 << 60
@@ -111,15 +111,15 @@ class WordEncoder:
     """Texts to ids for files whose words are letters, single digits or marks and whose blanks are dropped.
 
     White space always parts words, so a text is split there first and each distinct chunk is worked out once.
+    A chunk may hold rarer blanks: the pattern finds them.
     """
 
     # Contractions and word classes of the file's own pattern.
     WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
-    ODD_BLANKS = "\x1c\x1d\x1e\x1f"  # blanks to str.split, marks to the pattern
 
     def __init__(self, ranks: Ranks):
         self.ranks = ranks
-        self.words = Memo(lambda w: array("i", ranks.parts(w)).tobytes())
+        self.words = Memo(lambda w: array("i", ranks.parts(w)).tobytes(), 100_000)
         self.chunks = Memo(self.stretch)
         names = sorted(ranks.special, key=len, reverse=True)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
@@ -133,13 +133,21 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         """The ids of the whole text, 4 bytes each."""
-        if self.specials and any(s in text for s in self.ranks.special):
-            return b"".join(
-                array("i", [self.ranks.special[part]]).tobytes() if part in self.ranks.special else self.encode(part)
-                for part in self.specials.split(text))
-        if any(b in text for b in self.ODD_BLANKS):
-            return self.stretch(text)
-        return b"".join(map(self.chunks.__getitem__, text.split()))
+        parts = self.specials.split(text) if self.specials else [text]
+        return b"".join(
+            array("i", [self.ranks.special[part]]).tobytes() if part in self.ranks.special else self.stretch(part) for part in parts)
+
+    def encode_all(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, ids per text) of a string column; texts with special tokens are coded apart."""
+        column = strings(column)
+        odd = np.zeros(len(column), bool)
+        for name in self.ranks.special:
+            odd |= pc.match_substring(column, name).to_numpy(zero_copy_only=False)
+        apart = np.flatnonzero(odd)
+        extra = [self.encode(t) for t in column.take(pa.array(apart)).to_pylist()]
+        usual = column.filter(pa.array(~odd)) if len(apart) else column
+        flat, sizes = coded(pc.ascii_split_whitespace(usual), lambda chunks: list(map(self.chunks.__getitem__, chunks)))
+        return spliced(flat, sizes, apart, extra)
 
 
 def encoder(path: str) -> WordEncoder:
@@ -159,9 +167,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in slices(batches, "__text"):
-            found = [enc.encode(t) for t in texts(batch.column("__text"))]
-            sizes = np.array([len(x) // 4 for x in found])
-            lists = int_lists(np.frombuffer(b"".join(found), dtype=np.int32), sizes)
+            lists = int_lists(*enc.encode_all(batch.column("__text")))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), lists], names=[*keep, ids])
 
     return rows.mapInArrow(run, out)

@@ -11,15 +11,18 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-from .common import Memo, kept
+from .common import Memo, coded, kept, spliced, strings
 
 # Fixed value: the pre-token pattern of these files; blanks are those with the White_Space property.
 PIECES = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?![^\p{White_Space}])|\p{White_Space}+")
 RUNS = re.compile(r" (?=\s|$)")
+ODD = r" (?:[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|$)"  # the same for Arrow
 
 
 def library(path: str):
@@ -50,8 +53,9 @@ class ChunkTable:
 
     def __init__(self, path: str, make, single):
         self.special = special_tokens(path)
-        self.make, self.single = make, single
-        self.chunks = Memo(lambda c: make(" " + c))
+        self.single = single
+        self.chunks = Memo(lambda c: make(" " + c), 500_000)
+        self.make = lambda c: make(c) if c else b""
 
     def plain(self, text: str) -> bytes:
         return b"".join(map(self.make, PIECES.findall(text)))
@@ -63,7 +67,27 @@ class ChunkTable:
         if RUNS.search(text):
             return self.plain(text)
         first, *rest = text.split(" ")
-        return (self.make(first) if first else b"") + b"".join(map(self.chunks.__getitem__, rest))
+        return self.make(first) + b"".join(map(self.chunks.__getitem__, rest))
+
+    def all_codes(self, column: pa.Array, make_all=None) -> tuple[np.ndarray, np.ndarray]:
+        """(codes of all texts, codes per text) of a string column."""
+        column = strings(column)
+        odd = pc.match_substring_regex(column, ODD)
+        for name in self.special:
+            odd = pc.or_(odd, pc.match_substring(column, name))
+        apart = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        extra = [self.codes(t) for t in column.take(pa.array(apart)).to_pylist()]
+        usual = column.filter(pc.invert(odd)) if len(apart) else column
+        known = self.chunks
+
+        def look_up(chunks: list[str]) -> list[bytes]:
+            if make_all is not None:
+                new = [c for c in chunks if c not in known and c not in known.old]
+                known.fresh = dict(zip(new, make_all(new)))
+            return list(map(known.__getitem__, chunks))
+
+        flat, sizes = coded(pc.split_pattern(usual, " "), look_up, lambda firsts: list(map(self.make, firsts)))
+        return spliced(flat, sizes, apart, extra)
 
 
 def _coder(path: str) -> ChunkTable:
@@ -73,14 +97,8 @@ def _coder(path: str) -> ChunkTable:
         lambda token: np.array([special[token]], np.int32).tobytes())
 
 
-def encode_all(path: str, rows: list[str]) -> list[bytes]:
-    """The ids of each whole text, 4 bytes each; chunks not seen before go to the library in one batch."""
-    table = kept("chunk ids", path, lambda: _coder(path))
-    known = table.chunks
-    seen: set[str] = set().union(*(t.split(" ")[1:] for t in rows)) - known.keys() - known.old.keys()
-    new = [c for c in seen if len(c) <= known.longest]
-    for at in range(0, len(new), 50_000):
-        some = new[at : at + 50_000]
-        for c, ids in zip(some, piece_ids(path, [" " + c for c in some])):
-            known.learn(c, np.array(ids, np.int32).tobytes())
-    return [table.codes(t) for t in rows]
+def encode_all(path: str, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, ids per text): chunks not seen before go to the library in one batch."""
+    return kept("chunk ids", path, lambda: _coder(path)).all_codes(column, lambda new: [
+        np.array(ids, np.int32).tobytes() for at in range(0, len(new), 50_000)
+        for ids in piece_ids(path, [" " + c for c in new[at : at + 50_000]])])

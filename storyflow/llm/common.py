@@ -62,6 +62,47 @@ def texts(column: pa.Array) -> list[str]:
     return strings(column).to_pylist()
 
 
+def coded(lists: pa.Array, look_up: Callable[[list[str]], list[bytes]], first: Callable[[list[str]], list[bytes]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(int32 codes of all rows, codes per row) of lists of chunks: ``look_up`` sees each distinct chunk once.
+
+    ``first``, if given, codes the first chunk of each row in place of ``look_up``. No list may be empty then.
+    """
+    flat, at = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+    at = at - at[0]
+    distinct = flat.dictionary_encode()
+    table = look_up(distinct.dictionary.to_pylist())
+    index = distinct.indices.to_numpy().astype(np.int64)
+    if first is not None:
+        index[at[:-1]] = len(table) + np.arange(len(at) - 1)
+        table = table + first(flat.take(pa.array(at[:-1])).to_pylist())
+    sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+    blob = np.frombuffer(b"".join(table), np.int32)
+    starts = np.cumsum(sizes) - sizes
+    here = sizes[index]
+    ends = np.cumsum(here)
+    out = blob[np.repeat(starts[index] - (ends - here), here) + np.arange(ends[-1] if len(ends) else 0)]
+    ends = np.concatenate([[0], ends])
+    return out, ends[at[1:]] - ends[at[:-1]]
+
+
+def spliced(flat: np.ndarray, sizes: np.ndarray, odd: np.ndarray, extra: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Put the rows coded apart (``extra``, at the places ``odd``) back between the others."""
+    if not len(odd):
+        return flat, sizes
+    n = len(sizes) + len(odd)
+    parts, all_sizes, done, row = [], np.zeros(n, np.int64), 0, 0
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    for k, (place, codes) in enumerate(zip(odd.tolist(), extra)):
+        to = place - k
+        parts += [flat[done : ends[to]], np.frombuffer(codes, np.int32)]
+        all_sizes[row:place] = sizes[to - (place - row) : to]
+        all_sizes[place] = len(codes) // 4
+        done, row = ends[to], place + 1
+    parts.append(flat[done:])
+    all_sizes[row:] = sizes[len(sizes) - (n - row) :]
+    return np.concatenate(parts), all_sizes
+
+
 def int_lists(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
     at = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=at[1:])
@@ -83,23 +124,22 @@ class Memo(dict):
     """``memo[key]``: the value of ``make(key)``, remembered for the last ``size`` keys at least, twice that at most.
 
     Two generations: when the young one is full it becomes the old one, and keys still in use move over.
-    Long keys are worked out each time, so the memory is bounded.
+    Long keys are worked out each time, so the memory is bounded. ``fresh`` may hold values made beforehand.
     """
 
     def __init__(self, make, size: int = 200_000, longest: int = 100):
         super().__init__()
-        self.make, self.size, self.longest, self.old = make, size, longest, {}
+        self.make, self.size, self.longest, self.old, self.fresh = make, size, longest, {}, {}
 
     def __missing__(self, key):
         got = self.old.get(key)
+        if got is None:
+            got = self.fresh.get(key)
         if got is None:
             got = self.make(key)
         if len(key) <= self.longest:
-            self.learn(key, got)
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[key] = got
         return got
-
-    def learn(self, key, value) -> None:
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .byte_pieces import PIECES, ChunkTable, library, piece_ids
-from .common import bytes_of, kept, slices, texts
+from .common import bytes_of, kept, slices
 
 BLOCK_BYTES = 32 << 20  # of text; one block's postings are in a task's memory at once
 HOT = 64  # documents of a block with a pre-token, from which on its rows are not brought together
@@ -98,9 +98,7 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str
             if len(table.names) > NAMES:
                 table.restart()
             n, block = batch.num_rows, task + seq
-            codes = [table.table.codes(t) for t in texts(batch.column("__text"))]
-            sizes = np.array([len(c) // 4 for c in codes])
-            flat = np.frombuffer(b"".join(codes), np.int32)
+            flat, sizes = table.table.all_codes(batch.column("__text"))
             places = np.repeat(np.arange(n), sizes)
             known = np.bincount(places[flat == 0], minlength=n)
             distinct, lengths, packed = _postings(flat[flat > 0], places[flat > 0])

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from .byte_pieces import encode_all, library
-from .common import slices, texts
+from .common import slices
 
 HEAD = "<4sHHQQQQ"
 SAMPLE = 256
@@ -113,12 +113,11 @@ def write_tokens(docs: DataFrame, folder: str, path: str, text: str = "text", do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = 2 if max(library(path).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        end = np.array([end_id], np.int32).tobytes()
         part, before = TaskContext.get().partitionId(), 0
         for seq, batch in enumerate(slices(batches, "text", SEGMENT_BYTES)):
-            found = encode_all(path, texts(batch.column("text")))
-            ids = np.frombuffer(b"".join(x for pair in found for x in (pair, end)), np.int32)
-            ends = np.cumsum([len(x) // 4 + 1 for x in found], dtype=np.int64)
+            flat, sizes = encode_all(path, batch.column("text"))
+            ids = np.insert(flat, np.cumsum(sizes), end_id)
+            ends = np.cumsum(sizes + 1)
             at = pa.array([0, batch.num_rows], pa.int32())
             yield pa.RecordBatch.from_arrays([
                 pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before]), pa.array([len(ids)]),
