@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import scratch_path, table
-from . import bpe, fingerprints, language, line_dedup, mixing, page_text, token_counts, token_file
+from . import bpe, fingerprints, language, line_dedup, mixing, page_text, token_counts, token_file, topk
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +26,11 @@ def predicted_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model, keep=("doc_id", "held_out"))
 
 
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), topk.integers("embedding").alias("v"))
+    return topk.top_k(vectors, vectors.where("id % 50 = 0"))
+
+
 def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "token-file")
     token_file.write_tokens(table(spark, sf_dir, "documents"), folder, BYTE_BPE)
@@ -58,6 +63,7 @@ def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe_round_trip": bpe_round_trip,
     "op2_language": predicted_language,
+    "op3_top_k": nearest_vectors,
     "op4_token_file": token_ids,
     "op5_mixing": mixed_sources,
     "op6_token_counts": count_tokens,
