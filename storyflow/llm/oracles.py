@@ -2,6 +2,7 @@
 
 from .line_dedup import LINES, WORDS
 from .mixing import TIMES
+from .near_dup import SHINGLE, SIMILAR
 
 MIX = f"""
 WITH d AS (
@@ -60,6 +61,32 @@ SELECT d.doc_id, CASE WHEN coalesce(d.text, '') = '' THEN 0 ELSE n_lines END AS
 FROM d LEFT JOIN t ON t.doc = d.doc
 """
 
+NEAR_DUPLICATES = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')] ELSE
+    list_distinct(list_transform(range(1, len(w) - {SHINGLE - 2}), lambda k: array_to_string(w[k:k + {SHINGLE - 1}], ' '))) END AS s
+  FROM w),
+t AS (
+  SELECT doc_id, unnest(s) AS x FROM s),
+n AS (
+  SELECT doc_id, len(s) AS n FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM t a JOIN t b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= {SIMILAR} * (x.n + y.n - shared)),
+e AS (
+  SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (
+  SELECT doc_id, doc_id AS reached FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reached),
+c AS (
+  SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c USING (doc_id)
+"""
+
 MAIN_TEXT = r"""
 WITH a AS (
   SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') AS body FROM pages),
@@ -90,5 +117,6 @@ ORACLES: dict[str, str] = {
     "op3_top_k": NEAREST,
     "op5_mixing": MIX,
     "op7_line_dedup": LINES_GONE,
+    "op8_near_duplicates": NEAR_DUPLICATES,
     "op9_page_text": MAIN_TEXT,
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import scratch_path, table
-from . import bpe, fingerprints, language, line_dedup, mixing, page_text, token_counts, token_file, topk
+from . import bpe, fingerprints, language, line_dedup, mixing, near_dup, page_text, token_counts, token_file, topk
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -51,6 +51,10 @@ def fewer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_deleted", "text")
 
 
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents")).drop("tie")
+
+
 def main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = page_text.extract(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -68,6 +72,7 @@ QUERIES = {
     "op5_mixing": mixed_sources,
     "op6_token_counts": count_tokens,
     "op7_line_dedup": fewer_lines,
+    "op8_near_duplicates": near_duplicates,
     "op9_page_text": main_texts,
     "op10_fingerprints": document_fingerprints,
 }
