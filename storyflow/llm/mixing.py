@@ -97,7 +97,7 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
         times: int = TIMES, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(rows, pieces) of the mix.
 
-    rows: ``row`` (a number), doc_id, no_source, source, size, source_size, target, ``copies`` (how often the document is begun).
+    rows: ``row`` (a number), doc_id, tie (a digest of the text), no_source, source, size, source_size, target, ``copies`` (how often the document is begun).
     pieces: slot, row, from_word, n_words, a document's part in a block; their sum per row is what the mix takes.
 
     Null texts have no words and are in no piece; a null source is a source of its own; repeated rows are separate documents;
@@ -105,14 +105,14 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     same number of times give or take one, ``times`` at most. The order is a digest of the id, so reruns agree.
     """
     rows = cut(docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(source).isNull().alias("no_source"), F.coalesce(F.col(source), F.lit("")).alias("source"),
-        word_count(text).alias("size"), F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).alias("key")))
+        F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("tie"), F.col(source).isNull().alias("no_source"),
+        F.coalesce(F.col(source), F.lit("")).alias("source"), word_count(text).alias("size"), F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).alias("key")))
     goals = cut(targets(rows, weights, times))
     placed = running(rows, ["no_source", "source", "key", "doc_id", "size"], F.col("size"))
     placed = placed.join(goals, ["no_source", "source"]).withColumn("at", F.col("before") - F.col("first_word"))
     begun = F.expr("(words - at + source_size - 1) div greatest(source_size, 1)")
     placed = cut(placed.select(
-        F.col("nth").alias("row"), "doc_id", "no_source", "source", "source_no", "size", "source_size", "target", "words", "at",
+        F.col("nth").alias("row"), "doc_id", "tie", "no_source", "source", "source_no", "size", "source_size", "target", "words", "at",
         F.when(F.col("size") > 0, begun).otherwise(0).cast("long").alias("copies")))
     slots = cut(schedule(goals, block))
     counts = slots.groupBy("source_no").agg(F.count("*").alias("slots"))
@@ -129,10 +129,29 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     end = begin + F.col("each") + (F.col("nth_of_source") < F.col("more")).cast("long")
     pieces = parts.join(slots.select("slot", "source_no", "nth_of_source"), ["source_no", "nth_of_source"]).select(
         "slot", "row", (F.greatest(begin, "a") - F.col("a")).alias("from_word"), (F.least(end, "z") - F.greatest(begin, "a")).alias("n_words"))
-    return placed.select("row", "doc_id", "no_source", "source", "size", "source_size", "target", "copies"), pieces
+    return placed.select("row", "doc_id", "tie", "no_source", "source", "size", "source_size", "target", "copies"), pieces
 
 
 def taken(rows: DataFrame, pieces: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document: the words the pieces hold of it."""
     sums = pieces.groupBy("row").agg(F.sum("n_words").alias("taken"))
     return rows.join(sums, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+
+
+def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", **how) -> DataFrame:
+    """The documents of ``docs`` as whole rows, each as often as the mix begins it (0 to ``times`` times).
+
+    Rows alike in id, text and source share what the mix takes of them as evenly as whole rows allow.
+    """
+    rows, _ = mix(docs, text, doc_id, source, **how)
+    keys = ["__none", "__id", "__tie", "__no", "__source"]
+    named = lambda df: df.withColumns({"__none": F.col("doc_id").isNull(), "__id": F.coalesce("doc_id", F.lit(0)), "__no": F.col("no_source")})
+    wanted = named(rows).withColumns({"__tie": F.col("tie"), "__source": F.col("source")}).groupBy(*keys).agg(
+        F.sum("copies").alias("__copies"), F.count("*").alias("__rows")).where("__copies > 0")
+    own = docs.withColumns({
+        "__none": F.col(doc_id).isNull(), "__id": F.coalesce(F.col(doc_id), F.lit(0)), "__tie": F.xxhash64(text),
+        "__no": F.col(source).isNull(), "__source": F.coalesce(F.col(source), F.lit(""))})
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+    share = own.join(cut(wanted), keys).withColumn("__nth", nth).withColumn(
+        "__times", F.expr("__copies div __rows + IF(__nth <= __copies % __rows, 1, 0)"))
+    return share.withColumn("__copy", F.explode(F.expr("sequence(1L, greatest(__times, 1L))"))).where("__times > 0").select(docs.columns)

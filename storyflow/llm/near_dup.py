@@ -275,12 +275,13 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, tie, n_shingles, component_id, kept): the component of links each document belongs to.
+    """(doc_id, tie, n_shingles, component, component_id, kept): the component of links each document belongs to.
 
     A link needs ``SIMILAR`` percent of two documents' distinct shingles in common; ``component_id`` is the least id of the
     component. Null texts and texts without words have no shingles and are linked with nothing, so they are components
     of their own. A null id is no component's name: such a document has a null component if all ids there are, and is not kept.
-    Repeated rows are in one component. ``tie`` is a digest of the text. An empty table gives no rows.
+    Repeated rows are in one component. ``tie`` is a digest of the text, ``component`` a name that is null only without
+    shingles. An empty table gives no rows.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
     table = cut(described(rows, ["doc_id", "tie"], "text"))
@@ -325,14 +326,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         part = cut(components(links.select(F.col("a").alias("i"), F.col("b").alias("j"))).select(F.col("node").alias("key"), "component"))
         forests *= MORE
     if part is None:
-        names = nodes.select("key", F.col("least").alias("component_id"))
+        names = nodes.select("key", F.col("key").alias("component"), F.col("least").alias("component_id"))
     else:
         joined = cut(nodes.select("key", "least").join(part, "key", "left").withColumn("component", F.coalesce("component", "key")))
         least = cut(joined.groupBy("component").agg(F.min("least").alias("component_id")))
-        names = joined.join(least, "component").select("key", "component_id")
+        names = joined.join(least, "component").select("key", "component", "component_id")
     done = table.select("doc_id", "tie", "key", F.col("n").alias("n_shingles")).join(cut(names), "key", "left")
     named = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return done.select("doc_id", "tie", "n_shingles", named.alias("component_id"), F.coalesce(named == F.col("doc_id"), F.lit(False)).alias("kept"))
+    return done.select("doc_id", "tie", "n_shingles", "component", named.alias("component_id"), F.coalesce(named == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
 def _sets(rows: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:

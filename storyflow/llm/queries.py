@@ -52,7 +52,7 @@ def fewer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(table(spark, sf_dir, "documents")).drop("tie")
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents")).drop("tie", "component")
 
 
 def main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
