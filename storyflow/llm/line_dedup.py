@@ -34,7 +34,7 @@ def runs(docs: DataFrame, lines: int, words: int) -> DataFrame:
     ``run`` is a digest of the lines, ``print`` the least line hash, the run's fingerprint, at ``print_pos``."""
     seq = docs.select("no_id", "id", "tie", _lines(F.col("text")).alias("seq"))
     starts = seq.select("no_id", "id", "tie", F.explode(F.expr(
-        f"transform(sequence(1, size(seq)), k -> slice(seq, k, {lines}))")).alias("window")).where("size(window) > 0")
+        f"transform(sequence(1, greatest(size(seq), 1)), k -> slice(seq, k, {lines}))")).alias("window")).where("size(window) > 0")
     cuts = F.filter(F.transform(F.sequence(F.lit(1), F.size("window")), lambda n: F.slice("window", 1, n)), lambda w: (
         F.size(w) == lines) | (F.aggregate(w, F.lit(0), lambda s, x: s + x["words"]) >= words))
     each = starts.select("no_id", "id", "tie", F.explode(cuts).alias("w"))
