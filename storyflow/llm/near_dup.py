@@ -5,9 +5,10 @@
    value), are folded into an odd sketch, a bitmap with the parity of the samples in each bit. The count of bits in
    which two sketches differ gives the similarity, most precisely where it is high.
 3. In a bucket, pairs of different components whose sketches are similar enough are candidates. A bucket does not give them
-   all, but ``forests`` edge-disjoint spanning forests of the likeliest ones, so its rows give at most a few each.
-4. Candidates are confirmed on full sets, links are joined to components, and the next round looks at pairs between
-   components only, with more forests, until every candidate left has been refuted. So no link is lost to the choice.
+   all: each component offers its ``OFFERS`` likeliest, at first each node by itself.
+4. Candidates are confirmed on full sets, confirmed links join components, and in the next round, as in Boruvka's method, the
+   components that are left offer more pairs, until every candidate between two of them has been refuted. So no link
+   between components is lost to the choice, and no group is ever given as all its pairs.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ BANDS, ROWS, SAMPLES = 24, 5, 256  # a pair at the limit shares no bucket with a
 BITS = 512  # of an odd sketch
 MARGIN = 0.11  # over four standard deviations of the sketch's estimate at the limit
 BLOCK = 2048  # nodes of a bucket compared at once; larger buckets are compared block by block
-FORESTS, MORE = 2, 32  # forests in the first round, and the factor from round to round
+OFFERS, MORE = 2, 16  # pairs a component offers in the first round, and the factor from round to round
 _SLICE = 2 << 20
 
 
@@ -159,35 +160,20 @@ MEMBER = T.StructType([
     T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType()), T.StructField("more", T.BooleanType())])
 
 
-def _forests(pairs: np.ndarray, group: np.ndarray, parts: np.ndarray, forests: int) -> tuple[list[int], bool]:
-    """Places in ``pairs`` (likeliest first) of edge-disjoint spanning forests over the parts, in each group; whether pairs are left."""
-    chosen: list[int] = []
-    left = list(range(len(pairs)))
-    ends = [((g, a), (g, b)) for g, a, b in zip(group.tolist(), parts[pairs[:, 0]].tolist(), parts[pairs[:, 1]].tolist())]
-    for _ in range(forests):
-        if not left:
-            break
-        up: dict = {}
-
-        def root(x):
-            while (y := up.get(x, x)) != x:
-                up[x] = up.get(y, y)
-                x = y
-            return x
-
-        rest = []
-        for k in left:
-            a, b = root(ends[k][0]), root(ends[k][1])
-            if a == b:
-                rest.append(k)
-            else:
-                up[a] = b
-                chosen.append(k)
-        left = rest
-    return chosen, bool(left)
-
-
-def candidates(members: DataFrame, forests: int) -> DataFrame:
+def _offers(pairs: np.ndarray, group: np.ndarray, parts: np.ndarray, each: int) -> np.ndarray:
+    """Which of the ``pairs`` (likeliest first) are among the first ``each`` of one of their two parts, in their group."""
+    chosen = np.zeros(len(pairs), bool)
+    both = np.concatenate([parts[pairs[:, 0]], parts[pairs[:, 1]]])
+    owner = np.concatenate([group, group]) * (parts.max(initial=0) + 1) + both
+    place = np.concatenate([np.arange(len(pairs))] * 2)
+    order = np.lexsort((place, owner))
+    first = np.flatnonzero(np.diff(owner[order], prepend=-1))
+    rank = np.arange(len(order)) - np.repeat(first, np.diff(first, append=len(order)))
+    chosen[place[order[rank < each]]] = True
+    return chosen
+
+
+def candidates(members: DataFrame, each: int) -> DataFrame:
     """(a, b, more) from (bucket, i, j, side, key, n, sketch, part) rows: likely pairs of different parts in a block.
 
     Rows of a block lie together. ``more``: the block has further pairs, not given in this round.
@@ -230,11 +216,11 @@ def candidates(members: DataFrame, forests: int) -> DataFrame:
             likely.append(value[good])
         pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
         pairs = pairs[np.argsort(-np.concatenate(likely), kind="stable")] if len(pairs) else pairs
-        chosen, more = _forests(pairs, group[pairs[:, 0]], part, forests)
+        chosen = _offers(pairs, group[pairs[:, 0]], part, each)
         ordered = [sorted((keys[a], keys[b])) for a, b in pairs[chosen].tolist()]
         return pa.RecordBatch.from_arrays([
             pa.array([x[0] for x in ordered], pa.binary()), pa.array([x[1] for x in ordered], pa.binary()),
-            pa.array(np.full(len(ordered), more))], names=MEMBER.names)
+            pa.array(np.full(len(ordered), not chosen.all()))], names=MEMBER.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -294,7 +280,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     full = cut(full.select("bucket", F.ceil(F.col("m") / BLOCK).alias("blocks")))
     members = cut(in_bucket.join(full, "bucket"))
     part = None
-    links, tried, sets, forests = None, None, None, FORESTS
+    tried, sets, each = None, None, OFFERS
     while True:
         placed = members.withColumn("part", F.col("key")) if part is None else members.join(part, "key", "left").withColumn(
             "part", F.coalesce("component", "key")).drop("component")
@@ -310,21 +296,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
             "bucket", "p.i", "p.j", F.when(F.col("p.i") == F.col("p.j"), 2).when(mine == F.col("p.i"), 0).otherwise(1).alias("side"),
             "key", "n", "sketch", "part")
         dealt = spread.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-        found = cut(candidates(dealt, forests).groupBy("a", "b").agg(F.max("more").alias("more")))
+        found = cut(candidates(dealt, each).groupBy("a", "b").agg(F.max("more").alias("more")))
         unfinished = not found.where("more").isEmpty()
         fresh = found.select("a", "b") if tried is None else cut(found.select("a", "b").join(tried, ["a", "b"], "left_anti"))
         if fresh.isEmpty():
             if not unfinished:
                 break
-            forests *= MORE
+            each *= MORE
             continue
         if sets is None:
             sets = cut(_sets(rows, nodes, fresh))
         good = cut(_confirmed(fresh, sets))
-        links = good if links is None else cut(links.unionByName(good))
-        tried = fresh if tried is None else cut(tried.unionByName(fresh))
-        part = cut(components(links.select(F.col("a").alias("i"), F.col("b").alias("j"))).select(F.col("node").alias("key"), "component"))
-        forests *= MORE
+        tried = fresh if tried is None else tried.unionByName(fresh)
+        part = _joined(good, part)
+        each *= MORE
     if part is None:
         names = nodes.select("key", F.col("key").alias("component"), F.col("least").alias("component_id"))
     else:
@@ -336,10 +321,25 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     return done.select("doc_id", "tie", "n_shingles", "component", named.alias("component_id"), F.coalesce(named == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
+def _joined(links: DataFrame, part: DataFrame | None) -> DataFrame:
+    """(key, component) after ``links``: components of components, so that later rounds work on what is new."""
+    if part is None:
+        found = components(links.select(F.col("a").alias("i"), F.col("b").alias("j")))
+        return cut(found.select(F.col("node").alias("key"), "component"))
+    for end in ("a", "b"):
+        named = part.select(F.col("key").alias(end), F.col("component").alias(f"of_{end}"))
+        links = links.join(named, end, "left").withColumn(end, F.coalesce(f"of_{end}", end)).drop(f"of_{end}")
+    merged = cut(components(links.select(F.col("a").alias("i"), F.col("b").alias("j"))).select(
+        F.col("node").alias("component"), F.col("component").alias("now")))
+    known = part.join(merged, "component", "left").select("key", F.coalesce("now", "component").alias("component"))
+    new = merged.select(F.col("component").alias("key"), F.col("now").alias("component")).join(part.select("key"), "key", "left_anti")
+    return cut(known.unionByName(new))
+
+
 def _sets(rows: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(key, set) of the nodes in ``pairs``, made anew from the text of one of their documents.
 
-    The first round's forests touch every node that has a candidate at all, so later rounds need no other sets.
+    In the first round every node that has a candidate at all offers one, so later rounds need no other sets.
     """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     sources = nodes.join(wanted, "key", "left_semi").select(
