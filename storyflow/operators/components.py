@@ -15,7 +15,7 @@ def _is_star_forest(stars: DataFrame) -> bool:
     return state.where("leaf > 1 or (leaf = 1 and root = 1)").isEmpty()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(i, j) → (node, component); ``component`` is the smallest node of its component.
 
     Alternating large-star / small-star rounds: every round is two aggregations and two
@@ -23,9 +23,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     stars = cut(
         edges.where("i <> j").select(F.greatest("i", "j").alias("u"), F.least("i", "j").alias("v")).distinct())
-    for _ in range(max_rounds):
-        if _is_star_forest(stars):
-            break
+    while not _is_star_forest(stars):
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -34,8 +32,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")),
                               F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         stars = cut(small.select("e.u", "e.v").where("u <> v").distinct())
-    else:
-        raise RuntimeError("components did not settle")
     roots = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 

@@ -11,18 +11,15 @@ from ..config import EXCLUDED_ENTITY_LABELS, LEXICON, SIGNAL_WEIGHTS, STOP_WORDS
 from ..functions import text as T
 
 SIGNAL_ORDER = ("pos", "ner", "model", "manual")
-LEXICON_LIMIT = 5_000
 
 
 def lexicon_hits(text: Column, lexicon: Sequence[str] = LEXICON, mode: str = "suffix") -> Column:
     """Lexicon entries found in ``text``, in lexicon order.
 
     ``suffix``: the entry is a word, or stands before a blank (so ``ai`` also matches in
-    ``thai food``). ``word``: whole words only. The entries are literals of the plan,
-    hence the limit; a larger table belongs in ``lexicon_join``.
+    ``thai food``). ``word``: whole words only. The entries are literals of the plan; ``lexicon_join``
+    finds the same with a table.
     """
-    if len(lexicon) > LEXICON_LIMIT:
-        raise ValueError(f"more than {LEXICON_LIMIT} entries: use lexicon_join")
     entries = F.array(*(F.lit(k) for k in dict.fromkeys(lexicon)))
     key = T.headline_key(text)
     if mode == "word":
@@ -42,10 +39,32 @@ def lexicon_match(texts: DataFrame, lexicon: Sequence[str] = LEXICON, mode: str
         id_col, "keyword", "ordinal")
 
 
-def lexicon_join(texts: DataFrame, lexicon: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """Word matches against a lexicon table of any size, as an equi-join."""
-    found = texts.select(id_col, F.explode(F.array_distinct(T.words(T.headline_key(F.col(text_col))))).alias("keyword"))
-    return found.join(lexicon.select("keyword").distinct(), "keyword", "left_semi").select(id_col, "keyword")
+def lexicon_join(texts: DataFrame, lexicon: DataFrame, id_col: str = "id", text_col: str = "text", mode: str = "word") -> DataFrame:
+    """(id, keyword): ``lexicon_hits`` against a lexicon table of any size, as an equi-join.
+
+    Texts give their runs of words up to the longest entry; for ``suffix`` also, before a blank, those that begin
+    inside a word.
+    """
+    entries = lexicon.select("keyword").where(F.col("keyword") != "").distinct()
+    longest = entries.agg(F.max(F.size(F.split("keyword", " ")))).first()[0] or 0
+    key = T.headline_key(F.col(text_col))
+    span = F.sequence(F.lit(1), F.lit(max(1, longest)))
+
+    def runs(words: Column, until: Column) -> Column:
+        """All runs of 1 to ``longest`` of the words, the last one at ``until`` at most."""
+        return F.flatten(F.transform(words, lambda w, i: F.transform(
+            F.filter(span, lambda n: i + n <= until), lambda n: F.array_join(F.slice(words, i + 1, n), " "))))
+
+    words = T.words(key)
+    if mode == "word":
+        found = T.once(words, lambda w: runs(w, F.size(w)))
+    else:
+        before = F.split(key, " ")  # all but the last of these stand before a blank
+        inner = T.once(before, lambda w: F.flatten(F.transform(runs(w, F.size(w) - 1), lambda r: F.transform(
+            F.sequence(F.lit(1), F.greatest(F.length(F.substring_index(r, " ", 1)), F.lit(1))), lambda p: F.substring(r, p, F.length(r))))))
+        found = F.concat(inner, words)
+    rows = texts.select(id_col, F.explode(F.array_distinct(found)).alias("keyword"))
+    return rows.join(entries, "keyword", "left_semi").select(id_col, "keyword")
 
 
 def keep_pos(tokens: DataFrame, keep: Sequence[str] = ("NOUN", "PROPN")) -> DataFrame:
@@ -86,10 +105,10 @@ def keyword_lists(ranked: DataFrame) -> DataFrame:
 SPAN = r"[A-Z][a-z]+(?: [A-Z][a-z]+)+"
 
 
-def word_signal(texts: DataFrame, stop_words: Sequence[str] = STOP_WORDS, min_length: int = 3) -> DataFrame:
+def word_signal(texts: DataFrame, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """Stands in for a tagger: every token that is no stop word counts as a noun."""
     rows = texts.select("id", F.posexplode(T.tokens(F.col("text"), stop_words)).alias("ordinal", "keyword"))
-    return rows.where(F.length("keyword") >= min_length).select(
+    return rows.select(
         "id", "keyword", F.lit("pos").alias("signal"), F.lit(None).cast("double").alias("confidence"), "ordinal")
 
 

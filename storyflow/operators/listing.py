@@ -97,7 +97,7 @@ def keep_articles(listing: DataFrame, rules: dict[str, ListingRule] = LISTING_RU
 
 # ---------------------------------------------------------------- keep-first
 
-def keep_first(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+def keep_first(rows: DataFrame, keys: list[str], order: str | Column) -> DataFrame:
     """The first row of each key by ``order`` (unique). An aggregation, so copies of a hot
     key are dropped before the shuffle."""
     cols = rows.columns

@@ -223,12 +223,12 @@ sig AS (SELECT doc_id AS id, unnest({KEPT}) AS k, generate_subscripts({KEPT}, 1)
 ORACLES["keyword_fusion"] = f"""
 WITH {TF}, {SIGNALS},
 top AS (SELECT id, term, round(w, 6) AS c FROM w QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(w, 6) DESC, term) <= 5),
-a AS (SELECT id, k, w FROM sig WHERE s <> 1 OR length(k) >= 3 UNION ALL SELECT id, term, (c - 0.5) / 0.5 * 2 FROM top)
+a AS (SELECT id, k, w FROM sig UNION ALL SELECT id, term, (c - 0.5) / 0.5 * 2 FROM top)
 SELECT id, k AS keyword, round(sum(w), 6) AS score FROM a GROUP BY ALL HAVING round(sum(w), 6) > 1"""
 
 ORACLES["keyword_ranking"] = f"""
 WITH {SIGNALS},
-g AS (SELECT id, k, round(sum(w), 6) AS score, min(s * 1000000 + o) AS place FROM sig WHERE s <> 1 OR length(k) >= 3 GROUP BY ALL HAVING round(sum(w), 6) > 1),
+g AS (SELECT id, k, round(sum(w), 6) AS score, min(s * 1000000 + o) AS place FROM sig GROUP BY ALL HAVING round(sum(w), 6) > 1),
 l AS (SELECT id, list(k ORDER BY score DESC, place, k) AS ks FROM g GROUP BY id)
 SELECT id, len(ks) AS n, ks[1] AS first_keyword, md5(array_to_string(ks, ',')) AS list_md5 FROM l"""
 

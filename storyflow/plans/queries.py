@@ -602,7 +602,7 @@ def rouge2_compare(spark, folder):
 
 
 def _stub_summarizer():
-    return lambda texts: texts.str.split(T.DOC_SEPARATOR, regex=False).map(lambda parts: " ".join(p.split(" ")[0] for p in parts))
+    return lambda texts: " ".join(t.split(" ")[0] for t in texts)
 
 
 @query
@@ -631,18 +631,17 @@ EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,
 
 @query
 def stream_first_seen(spark, folder):
-    rows = X.landing_stream(spark, folder, EVENTS, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    seen = X.first_seen_stream(rows, ["user_id", "event_type"], "ts")
+    rows = X.landing_stream(spark, f"{folder}/events.parque[t]", EVENTS).select("user_id", "event_type")
     path = scratch_path(spark, "first-seen")
-    X.write_available(seen.select("user_id", "event_type"), path, path + "-progress").awaitTermination()
-    return spark.read.schema("user_id bigint, event_type string").parquet(path)
+    X.first_seen_into(rows, ["user_id", "event_type"], path, path + "-progress").awaitTermination()
+    return spark.read.schema("user_id bigint, event_type string").parquet(path).select("user_id", "event_type")
 
 
 @query
 def stream_load(spark, folder):
     """Documents landing as files, loaded per micro-batch: keywords per article afterwards."""
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-    rows = X.landing_stream(spark, folder, schema, "documents.parquet").withColumnRenamed("doc_id", "id")
+    rows = X.landing_stream(spark, f"{folder}/documents.parque[t]", schema).withColumnRenamed("doc_id", "id")
     rows = rows.select(F.col("id").alias("pos"), "source", F.col("lang").alias("section"), F.lit(None).cast("string").alias("section_url"),
                        F.concat_ws(" ", F.lit("story"), "id").alias("title"), _url().alias("url"), _date().alias("date"),
                        F.lit(None).cast("string").alias("image"), F.lit(None).cast("string").alias("subheading"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -47,16 +47,29 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+FEW_FILES = 8
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rebalance a scan that has fewer splits than the cluster has slots.
+    """Deal out a scan of fewer than ``FEW_FILES`` files, which may have fewer splits than the machine has slots.
+
+    Physical only: rows and results stay the same. Tables of many files are read as they are.
+    """
+    if 0 < len(df.inputFiles()) < FEW_FILES:
+        return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+    return df
+
+
+def numbered(df: DataFrame, order: list[str], group: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with ``nth``: the place of a row, from 0, in ``order`` within its ``group``.
 
-    A large input already has more splits than slots and is returned as it is,
-    so the shuffle is only paid by inputs too small to matter.
+    Rows are dealt by ranges and counted there; across ranges only one row per range and group is summed, so neither
+    a hot group nor the whole table is sorted by one task.
     """
-    spark = df.sparkSession
-    slots = spark.sparkContext.defaultParallelism
-    per_split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size >= 2 * slots * per_split:
-        return df
-    return df.repartition(slots, *keys)
+    ranged = cut(df.repartitionByRange(*group, *order).withColumn("__part", F.spark_partition_id()))
+    here = Window.partitionBy("__part", *group).orderBy(*order)
+    sizes = ranged.groupBy("__part", *group).agg(F.count("*").alias("__n"))
+    across = (Window.partitionBy(*group) if group else Window).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(across), F.lit(0))).drop("__n")
+    inside = ranged.withColumn("__i", F.row_number().over(here) - 1)
+    return inside.join(bases, ["__part", *group]).withColumn("nth", F.col("__i") + F.col("__before")).drop("__part", "__i", "__before")

@@ -87,3 +87,16 @@ def test_balanced_container(spark):
     assert one(spark, '<div id="t">1<div>2', lambda c: H.balanced(c, r'<div id="t">', "div")) == "1<div>2"
     assert one(spark, '<div id="t"></div>x', lambda c: H.balanced(c, r'<div id="t">', "div")) == ""
     assert one(spark, "<p>x</p>", lambda c: H.balanced(c, r'<div id="t">', "div")) is None
+
+
+def test_references_images_and_written_days(spark):
+    from storyflow.functions import dates, html
+
+    text = "caf&eacute; &#8212; it&rsquo;s &#x41;&amp;lt; R&D &nosuch; &#0; a&nbsp;b &"
+    assert spark.range(1).select(html.plain(F.lit(text))).first()[0] == "café — it’s A&lt; R&D &nosuch; &#0; a b &"
+    page = '<IMG alt=x><img class="a" data-src="no" src="one.png"><!-- <img src="old"> --><img src=\'two.png\'><img src=three.png>'
+    found = spark.range(1).select(html.images(html.without_scripts(F.lit(page)))).first()[0]
+    assert found == ["", "one.png", "two.png", "three.png"]
+    rows = spark.createDataFrame([("2025-01-05T23:11:12-05:00",), ("2025-01-05T00:30:00+09:00",), ("2025-01-05 10:11",), ("soon",), (None,)], "d string")
+    as_of = F.lit("2025-02-02").cast("timestamp")
+    assert [str(r[0]) for r in rows.select(dates.parse_or(F.col("d"), as_of)).collect()] == ["2025-01-05"] * 3 + ["2025-02-02"] * 2

@@ -58,3 +58,13 @@ def test_lexicon_table(spark):
     texts = spark.createDataFrame([(1, "War and peace"), (2, "nothing")], "id int, text string")
     lex = spark.createDataFrame([("war",), ("war",), ("peace",)], "keyword string")
     assert sorted(r.keyword for r in K.lexicon_join(texts, lex).collect()) == ["peace", "war"]
+
+
+def test_a_lexicon_table_finds_what_literals_find(spark):
+    lines = ["supreme court rules on ai today", "thai food", "the ai", "war of words", "court", "", None, "a supreme\ncourt case", "peace treaty ai"]
+    texts = spark.createDataFrame(list(enumerate(lines)), "id long, text string")
+    words = ["supreme court", "ai", "court", "war", "of words", "ai food", "peace treaty", "e court", "food"]
+    lexicon = spark.createDataFrame([(w,) for w in words] + [(f"entry {n} x",) for n in range(6000)], "keyword string")
+    for mode in ("word", "suffix"):
+        want = {(r.id, r.keyword) for r in K.lexicon_match(texts, words, mode).collect()}
+        assert {(r.id, r.keyword) for r in K.lexicon_join(texts, lexicon, mode=mode).collect()} == want and want

@@ -117,6 +117,19 @@ def test_first_seen_stream_over_batches(spark):
     assert out == [("a", "2025-03-01"), ("a", "2025-03-21"), ("b", "2025-03-01"), ("c", "2025-03-02"), ("z", "2025-03-20")]
 
 
+def test_first_seen_for_good_does_not_depend_on_batches(spark):
+    folder = scratch_path(spark, "landing")
+    row = "url string, n int"
+    days = [["a", "b", "a"], ["b", "c"], ["z"], ["a", "c", "d"]]
+    for n, urls in enumerate(days):
+        spark.createDataFrame([(u, n) for u in urls], row).coalesce(1).write.mode("append").parquet(folder)
+        X.first_seen_into(X.landing_stream(spark, folder, row), ["url"], folder + "-out", folder + "-progress").awaitTermination()
+    X.first_seen_into(X.landing_stream(spark, folder, row), ["url"], folder + "-once", folder + "-progress-once").awaitTermination()
+    many, once = ({r.url for r in spark.read.parquet(folder + end).collect()} for end in ("-out", "-once"))
+    assert many == once == {"a", "b", "c", "d", "z"}
+    assert sorted((r.url, r.n) for r in spark.read.parquet(folder + "-out").collect()) == [("a", 0), ("b", 0), ("c", 1), ("d", 3), ("z", 2)]
+
+
 def test_stream_load_is_incremental(spark):
     folder = scratch_path(spark, "landing")
     tables = Tables(spark, scratch_path(spark, "tables"))
