@@ -92,14 +92,19 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def sample(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang, key, piece): windows of up to ``SAMPLE_ROWS`` rows of each language, picked by a digest of the text.
 
-    The limit is applied before the shuffle too, so a language with most rows sends no more than others.
+    A first cut by the digest leaves about four times as many rows of a language, however many it has and however many
+    tasks read them; only these rows' windows are shuffled and ranked.
     """
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
-        F.col(lang).alias("lang"), F.xxhash64(text).alias("key"), F.lower(text).alias("text"))
-    few = rows.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("nth") <= SAMPLE_ROWS)
+    labelled = docs.where(F.col(lang).isNotNull())
+    share = labelled.groupBy(F.col(lang).alias("lang")).agg((F.lit(4.0 * SAMPLE_ROWS) / F.count("*")).alias("share"))
     room = F.greatest(F.length("text") - WINDOW_CHARS, F.lit(0))
     starts = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda k: (room * k / (WINDOWS - 1)).cast("int")))
-    return few.select("lang", "key", F.explode(F.transform(starts, lambda s: F.substring(F.col("text"), s + 1, F.lit(WINDOW_CHARS)))).alias("piece"))
+    rows = labelled.where(F.col(text).rlike(r"\p{L}")).select(
+        F.col(lang).alias("lang"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
+    few = rows.join(share, "lang").where(F.pmod("key", F.lit(1 << 30)) < F.col("share") * (1 << 30)).withColumn("text", F.lower("text")).select(
+        "lang", "key", F.transform(starts, lambda s: F.substring(F.col("text"), s + 1, F.lit(WINDOW_CHARS))).alias("pieces"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    return few.withColumn("nth", nth).where(F.col("nth") <= SAMPLE_ROWS).select("lang", "key", F.explode("pieces").alias("piece"))
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
