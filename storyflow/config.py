@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 
+# The defaults below.
 @dataclass(frozen=True)
 class StoryParams:
     """How two articles are scored and when they belong to one story."""
@@ -26,6 +27,7 @@ class StoryParams:
         return self.threshold + self.same_penalty
 
 
+# The defaults below.
 @dataclass(frozen=True)
 class FreshParams:
     """Which stories are read in full and summarised."""
@@ -55,34 +57,30 @@ SIGNAL_WEIGHTS = {"pos": 1.0, "ner": 2.0, "manual": 1.1}
 EXCLUDED_ENTITY_LABELS = ("DATE", "ORDINAL", "CARDINAL", "MONEY", "TIME", "QUANTITY", "PERCENT")
 
 # Topic lexicon, one phrase per entry.
-LEXICON = tuple(
-    phrase.strip()
-    for phrase in """
-    israel, palestine, gaza, russia, ukraine, china, taiwan, usa, america, iran, india, middle east,
-    north korea, un, eu, border, u.s., afghanistan, iraq,
-    ai, artificial intelligence, machine learning, cryptocurrency, blockchain, stocks, economy, recession,
-    inflation, interest rates, big tech, startup, ipo, merger, acquisition, amazon, google, meta, tesla,
-    election, president, congress, senate, supreme court, legislation, sanctions, campaign, investigation,
-    impeachment, protest, vote, ballot, governor, government,
-    covid, vaccine, pandemic, climate change, global warming, wildfire, hurricane, earthquake, flood,
-    outbreak, healthcare, hospitals,
-    hamas, terrorism, cybersecurity, hacking, police, shooting, arrest, fbi, war, conflict, defense,
-    military, secret service, immigration,
-    celebrity, tiktok, twitter, x, sports, olympics, world cup, movies, hollywood, netflix, rally,
-    social media, influencer,
-    musk, trump, harris, biden, pelosi, obama
-    """.split(",")
+LEXICON = (
+    "israel", "palestine", "gaza", "russia", "ukraine", "china", "taiwan", "usa", "america", "iran", "india",
+    "middle east", "north korea", "un", "eu", "border", "u.s.", "afghanistan", "iraq", "ai",
+    "artificial intelligence", "machine learning", "cryptocurrency", "blockchain", "stocks", "economy", "recession",
+    "inflation", "interest rates", "big tech", "startup", "ipo", "merger", "acquisition", "amazon", "google", "meta",
+    "tesla", "election", "president", "congress", "senate", "supreme court", "legislation", "sanctions", "campaign",
+    "investigation", "impeachment", "protest", "vote", "ballot", "governor", "government", "covid", "vaccine",
+    "pandemic", "climate change", "global warming", "wildfire", "hurricane", "earthquake", "flood", "outbreak",
+    "healthcare", "hospitals", "hamas", "terrorism", "cybersecurity", "hacking", "police", "shooting", "arrest",
+    "fbi", "war", "conflict", "defense", "military", "secret service", "immigration", "celebrity", "tiktok",
+    "twitter", "x", "sports", "olympics", "world cup", "movies", "hollywood", "netflix", "rally", "social media",
+    "influencer", "musk", "trump", "harris", "biden", "pelosi", "obama",
 )
 
 # English function words left out of vectors; pass your own list to replace it.
-STOP_WORDS = tuple(
-    """
-    a about above after again against all also am an and any are as at be because been before being below
-    between both but by can cannot could did do does doing down during each few for from further had has
-    have having he her here hers herself him himself his how i if in into is it its itself just me more
-    most my myself no nor not now of off on once only or other our ours ourselves out over own same she
-    should so some such than that the their theirs them themselves then there these they this those
-    through to too under until up very was we were what when where which while who whom why will with
-    would you your yours yourself yourselves
-    """.split()
+STOP_WORDS = (
+    "a", "about", "above", "after", "again", "against", "all", "also", "am", "an", "and", "any", "are", "as", "at",
+    "be", "because", "been", "before", "being", "below", "between", "both", "but", "by", "can", "cannot", "could",
+    "did", "do", "does", "doing", "down", "during", "each", "few", "for", "from", "further", "had", "has", "have",
+    "having", "he", "her", "here", "hers", "herself", "him", "himself", "his", "how", "i", "if", "in", "into", "is",
+    "it", "its", "itself", "just", "me", "more", "most", "my", "myself", "no", "nor", "not", "now", "of", "off", "on",
+    "once", "only", "or", "other", "our", "ours", "ourselves", "out", "over", "own", "same", "she", "should", "so",
+    "some", "such", "than", "that", "the", "their", "theirs", "them", "themselves", "then", "there", "these", "they",
+    "this", "those", "through", "to", "too", "under", "until", "up", "very", "was", "we", "were", "what", "when",
+    "where", "which", "while", "who", "whom", "why", "will", "with", "would", "you", "your", "yours", "yourself",
+    "yourselves",
 )

@@ -10,6 +10,7 @@ from pyspark.sql import Column, functions as F
 WORD = r"\p{L}\p{N}_"
 # Fixed value: a token, one character or more, hyphens allowed inside.
 TOKEN = rf"[{WORD}](?:[{WORD}-]*[{WORD}])?"
+# Marks that part list entries and texts.
 ARRAY_MARK = "|||"
 DOC_SEPARATOR = "<doc-sep>"
 
