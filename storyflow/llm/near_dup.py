@@ -25,9 +25,9 @@ from .common import bytes_of, kept, mixed, slices
 
 SHINGLE = 5  # words
 SIMILAR = 85  # percent: links have 100 * intersection >= SIMILAR * union
-BANDS, ROWS, SAMPLES = 24, 5, 256  # a pair at the limit shares no bucket with a probability below 1e-6
-BITS = 512  # of an odd sketch
-MARGIN = 0.11  # over four standard deviations of the sketch's estimate at the limit
+BANDS, ROWS, SAMPLES = 24, 5, 512  # a pair at the limit shares no bucket with a probability below 1e-6
+BITS = 1024  # of an odd sketch
+MARGIN = 0.08  # over four standard deviations of the sketch's estimate at the limit
 BLOCK = 2048  # nodes of a bucket compared at once; larger buckets are compared block by block
 OFFERS, MORE = 2, 16  # pairs a component offers in the first round, and the factor from round to round
 _SLICE = 2 << 20
@@ -174,9 +174,10 @@ def _offers(pairs: np.ndarray, group: np.ndarray, parts: np.ndarray, each: int)
 
 
 def candidates(members: DataFrame, each: int) -> DataFrame:
-    """(a, b, more) from (bucket, i, j, side, key, n, sketch, part) rows: likely pairs of different parts in a block.
+    """(a, b, more) from (bucket, i, j, side, key, n, bands, sketch, part) rows: likely pairs of different parts in a block.
 
-    Rows of a block lie together. ``more``: the block has further pairs, not given in this round.
+    Rows of a block lie together. A pair is given in the first bucket that it shares only. ``more``: the block has
+    further pairs, not given in this round.
     """
     low = SIMILAR / 100 - MARGIN
 
@@ -204,7 +205,8 @@ def candidates(members: DataFrame, each: int) -> DataFrame:
         group = np.cumsum(new) - 1
         keys = rows.column("key").to_pylist()
         sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(keys), -1)
-        n, side = rows.column("n").to_numpy(), rows.column("side").to_numpy()
+        n, side, bucket = (rows.column(c).to_numpy() for c in ("n", "side", "bucket"))
+        bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(keys), -1)
         part = np.unique(np.array(rows.column("part").to_pylist(), dtype=object), return_inverse=True)[1]
         found, likely = [], []
         for a, b in block_pairs(side, ends):
@@ -212,6 +214,9 @@ def candidates(members: DataFrame, each: int) -> DataFrame:
             a, b = a[good], b[good]
             value = estimate(np.bitwise_count(sketch[a] ^ sketch[b]).sum(1, dtype=np.int64))
             good = value >= low
+            a, b, value = a[good], b[good], value[good]
+            shared = (bands[a] == bands[b]).argmax(1)
+            good = bands[a, shared] == bucket[a]
             found.append(np.stack([a[good], b[good]], 1))
             likely.append(value[good])
         pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
@@ -274,11 +279,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     nodes = cut(table.where("n > 0").groupBy("key").agg(
         F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "tie")).alias("source"), F.first("n").alias("n"),
         F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-    in_bucket = nodes.select("key", "n", "sketch", F.explode("bands").alias("bucket"))
+    in_bucket = nodes.select("key", F.explode("bands").alias("bucket"))
     short = F.xxhash64("key")
     full = in_bucket.groupBy("bucket").agg(F.min(short).alias("x"), F.max(short).alias("y"), F.count("*").alias("m")).where("x <> y")
     full = cut(full.select("bucket", F.ceil(F.col("m") / BLOCK).alias("blocks")))
-    members = cut(in_bucket.join(full, "bucket"))
+    members = cut(in_bucket.join(full, "bucket").join(nodes.select("key", "n", "bands", "sketch"), "key"))
     part = None
     tried, sets, each = None, None, OFFERS
     while True:
@@ -294,7 +299,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
                 F.least(k, mine).alias("i"), F.greatest(k, mine).alias("j"))))
         spread = placed.withColumn("p", F.explode(pairs_of)).select(
             "bucket", "p.i", "p.j", F.when(F.col("p.i") == F.col("p.j"), 2).when(mine == F.col("p.i"), 0).otherwise(1).alias("side"),
-            "key", "n", "sketch", "part")
+            "key", "n", "bands", "sketch", "part")
         dealt = spread.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
         found = cut(candidates(dealt, each).groupBy("a", "b").agg(F.max("more").alias("more")))
         unfinished = not found.where("more").isEmpty()
