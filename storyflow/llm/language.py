@@ -120,6 +120,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
         back[:] = False
     raw, at = bytes_of(pa.array([r[2] for r in rows], pa.string()))
     bags = _bags(raw, at)
+    del rows, raw, at
     rng = np.random.default_rng(SEED)
     table = rng.uniform(-1, 1, (BUCKETS, WIDTH)) / WIDTH
     layer, bias = np.zeros((WIDTH, len(languages))), np.zeros(len(languages))
@@ -145,22 +146,24 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     model = Model(languages, table, layer, bias)
     held = np.flatnonzero(back)
     if len(held):
-        z, _ = model.logits(raw, at)
+        z = np.array([bags[i][1] @ table[bags[i][0]] for i in held]) @ layer + bias
         grid = np.geomspace(0.25, 16, 49)
-        loss = [-np.log(_softmax(z[held] / t)[np.arange(len(held)), y[held]] + 1e-12).mean() for t in grid]
+        loss = [-np.log(_softmax(z / t)[np.arange(len(held)), y[held]] + 1e-12).mean() for t in grid]
         model.temperature = float(grid[int(np.argmin(loss))])
     return model
 
 
-def _bags(raw: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(distinct buckets, their shares) of each text."""
-    n = len(at) - 1
-    found = [g for g in _grams(raw, at)]
-    bucket = np.concatenate([g[0] for g in found]) if found else np.zeros(0, np.int64)
-    owner = np.concatenate([g[1] for g in found]) if found else np.zeros(0, np.int64)
-    key, count = np.unique(owner * BUCKETS + bucket, return_counts=True)
-    ends = np.searchsorted(key, np.arange(n + 1) * BUCKETS)
-    return [(key[a:b] % BUCKETS, count[a:b] / max(1, count[a:b].sum())) for a, b in zip(ends, ends[1:])]
+def _bags(raw: np.ndarray, at: np.ndarray, some: int = 256) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(distinct buckets, their shares) of each text; ``some`` texts are in work at once, so the driver's peak is small."""
+    bags = []
+    for a in range(0, len(at) - 1, some):
+        part = at[a : a + some + 1]
+        found = list(_grams(raw[part[0] : part[-1]], part - part[0]))
+        keys = np.concatenate([owner * BUCKETS + bucket for bucket, owner in found]) if found else np.zeros(0, np.int64)
+        key, count = np.unique(keys, return_counts=True)
+        ends = np.searchsorted(key, np.arange(len(part)) * BUCKETS)
+        bags += [((key[i:j] % BUCKETS).astype(np.int32), (count[i:j] / max(1, count[i:j].sum())).astype(np.float32)) for i, j in zip(ends, ends[1:])]
+    return bags
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
