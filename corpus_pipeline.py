@@ -13,6 +13,8 @@ from storyflow.llm import bpe, language, line_dedup, mixing, near_dup
 from storyflow.llm.queries import WORD_BPE
 from storyflow.runtime import cut, scratch_path
 
+NEAR = 80  # percent of common shingles; op8's own limit is 85
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the classifier can name; ``lang`` becomes that language.
@@ -38,9 +40,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the least id; texts without words all stay.
 
-    If the least id is in several rows of a group, the one with the least text stays; without any id, likewise.
+    Near duplicates have ``NEAR`` percent of their shingles in common. If the least id is in several rows of a group, the one
+    with the least text stays; without any id, likewise.
     """
-    found = near_dup.near_duplicates(docs)
+    found = near_dup.near_duplicates(docs, similar=NEAR)
     none, number = F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id")
     first = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(none, number, "tie")).alias("first"))
     alone = found.where("n_shingles = 0").select(none, number, "tie").distinct()

@@ -1,7 +1,7 @@
 """Near-duplicate documents: MinHash bands propose pairs, odd sketches verify them, full shingle sets confirm them.
 
 1. Each document becomes its set of distinct word shingles; documents with equal sets are one node from then on.
-2. A node has ``SAMPLES`` MinHash values. ``BANDS`` groups of ``ROWS`` of them are its buckets; all of them, as pairs (place,
+2. A node has ``SAMPLES`` MinHash values. ``BANDS`` (more at a lower limit) groups of ``ROWS`` of them are its buckets; all of them, as pairs (place,
    value), are folded into an odd sketch, a bitmap with the parity of the samples in each bit. The count of bits in
    which two sketches differ gives the similarity, most precisely where it is high.
 3. In a bucket, pairs of different components whose sketches are similar enough are candidates. A bucket does not give them
@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,15 +25,38 @@ from ..runtime import cut
 from .common import bytes_of, kept, mixed, slices
 
 SHINGLE = 5  # words
-SIMILAR = 85  # percent: links have 100 * intersection >= SIMILAR * union
-BANDS, ROWS, SAMPLES = 24, 5, 512  # a pair at the limit shares no bucket with a probability below 1e-6
+SIMILAR = 85  # percent, unless told otherwise: links have 100 * intersection >= SIMILAR * union
+BANDS, ROWS, SAMPLES = 24, 5, 512  # a pair at ``SIMILAR`` shares no bucket with a probability below MISSED
+MISSED = 1e-6
 BITS = 1024  # of an odd sketch
-MARGIN = 0.08  # over four standard deviations of the sketch's estimate at the limit
+MARGIN = 0.08  # over four standard deviations of the sketch's estimate at ``SIMILAR``
 BLOCK = 2048  # nodes of a bucket compared at once; larger buckets are compared block by block
 OFFERS, MORE = 2, 16  # pairs a component offers in the first round, and the factor from round to round
 _SLICE = 2 << 20
 
 
+def bands_for(similar: int) -> int:
+    """The number of bands with which a pair of ``similar`` percent shares no bucket with a probability below ``MISSED``."""
+    bands = math.ceil(math.log(MISSED) / math.log1p(-((similar / 100) ** ROWS)))
+    if bands * ROWS > SAMPLES:
+        raise ValueError(f"{similar} percent needs {bands} bands of {ROWS} samples, there are {SAMPLES} samples")
+    return bands
+
+
+def _deviation(similar: int) -> float:
+    """Standard deviation of the sketch's estimate of ``similar`` percent: of the agreeing samples, and of flips that meet in a bit."""
+    s = similar / 100
+    flips = 2 * SAMPLES * (1 - s)
+    rest = math.exp(-2 * flips / BITS)
+    bits = BITS / 4 * (1 - rest * rest) - flips * rest * rest
+    return math.sqrt(s * (1 - s) / SAMPLES + bits / (2 * SAMPLES * rest) ** 2)
+
+
+def margin_for(similar: int) -> float:
+    """``MARGIN``, in the same number of standard deviations at ``similar`` percent."""
+    return MARGIN * _deviation(similar) / _deviation(SIMILAR)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2**64."""
     base = 0x9E3779B97F4A7C15
@@ -105,10 +129,10 @@ def samples(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
-def bands_of(mins: np.ndarray) -> np.ndarray:
-    """Bucket numbers of rows of MinHash values, ``BANDS`` for each."""
-    part = mins[:, : BANDS * ROWS].reshape(len(mins), BANDS, ROWS).astype(np.uint64)
-    code = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(mins), BANDS))
+def bands_of(mins: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """Bucket numbers of rows of MinHash values, ``bands`` for each."""
+    part = mins[:, : bands * ROWS].reshape(len(mins), bands, ROWS).astype(np.uint64)
+    code = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(mins), bands))
     for k in range(ROWS):
         code = mixed(code * np.uint64(0x9E3779B97F4A7C15) + part[:, :, k])
     return code.view(np.int64)
@@ -138,8 +162,8 @@ def _keys(sets: list[np.ndarray]) -> list[bytes | None]:
             if len(x) else None for x in sets]
 
 
-def described(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
-    """``keep`` columns, the key and size of each document's set, its buckets and its sketch."""
+def described(docs: DataFrame, keep: list[str], text: str, n_bands: int = BANDS) -> DataFrame:
+    """``keep`` columns, the key and size of each document's set, its ``n_bands`` buckets and its sketch."""
     rows = docs.select(*keep, F.col(text).alias("__text"))
     out = T.StructType([*rows.drop("__text").schema.fields, *DOCS])
 
@@ -147,7 +171,7 @@ def described(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
         for batch in slices(batches, "__text", _SLICE):
             sets = shingle_sets(*bytes_of(batch.column("__text")))
             mins = np.array([samples(s) for s in sets])
-            bands = pa.FixedSizeListArray.from_arrays(pa.array(bands_of(mins).ravel()), BANDS).cast(pa.list_(pa.int64()))
+            bands = pa.FixedSizeListArray.from_arrays(pa.array(bands_of(mins, n_bands).ravel()), n_bands).cast(pa.list_(pa.int64()))
             sketch = odd_sketches(mins)
             yield pa.RecordBatch.from_arrays([
                 *(batch.column(c) for c in keep), pa.array(_keys(sets), pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
@@ -173,13 +197,13 @@ def _offers(pairs: np.ndarray, group: np.ndarray, parts: np.ndarray, each: int)
     return chosen
 
 
-def candidates(members: DataFrame, each: int) -> DataFrame:
+def candidates(members: DataFrame, each: int, similar: int = SIMILAR) -> DataFrame:
     """(a, b, more) from (bucket, i, j, side, key, n, bands, sketch, part) rows: likely pairs of different parts in a block.
 
     Rows of a block lie together. A pair is given in the first bucket that it shares only. ``more``: the block has
     further pairs, not given in this round.
     """
-    low = SIMILAR / 100 - MARGIN
+    low = similar / 100 - margin_for(similar)
 
     def block_pairs(side: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of rows of one block, some at a time: all of a block with itself, else one side with the other."""
@@ -210,7 +234,7 @@ def candidates(members: DataFrame, each: int) -> DataFrame:
         part = np.unique(np.array(rows.column("part").to_pylist(), dtype=object), return_inverse=True)[1]
         found, likely = [], []
         for a, b in block_pairs(side, ends):
-            good = (part[a] != part[b]) & (100 * np.minimum(n[a], n[b]) >= SIMILAR * np.maximum(n[a], n[b]))
+            good = (part[a] != part[b]) & (100 * np.minimum(n[a], n[b]) >= similar * np.maximum(n[a], n[b]))
             a, b = a[good], b[good]
             value = estimate(np.bitwise_count(sketch[a] ^ sketch[b]).sum(1, dtype=np.int64))
             good = value >= low
@@ -247,7 +271,7 @@ def candidates(members: DataFrame, each: int) -> DataFrame:
     return members.mapInArrow(run, MEMBER)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     """The (a, b) whose full sets are similar enough."""
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("sa")), "a").join(
         sets.select(F.col("key").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb")
@@ -259,23 +283,23 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 place = np.minimum(np.searchsorted(x, y), len(x) - 1)
                 shared = int((x[place] == y).sum())
-                good[k] = 100 * shared >= SIMILAR * (len(x) + len(y) - shared)
+                good[k] = 100 * shared >= similar * (len(x) + len(y) - shared)
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar: int = SIMILAR) -> DataFrame:
     """(doc_id, tie, n_shingles, component, component_id, kept): the component of links each document belongs to.
 
-    A link needs ``SIMILAR`` percent of two documents' distinct shingles in common; ``component_id`` is the least id of the
+    A link needs ``similar`` percent of two documents' distinct shingles in common; ``component_id`` is the least id of the
     component. Null texts and texts without words have no shingles and are linked with nothing, so they are components
     of their own. A null id is no component's name: such a document has a null component if all ids there are, and is not kept.
     Repeated rows are in one component. ``tie`` is a digest of the text, ``component`` a name that is null only without
     shingles. An empty table gives no rows.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
-    table = cut(described(rows, ["doc_id", "tie"], "text"))
+    table = cut(described(rows, ["doc_id", "tie"], "text", bands_for(similar)))
     nodes = cut(table.where("n > 0").groupBy("key").agg(
         F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "tie")).alias("source"), F.first("n").alias("n"),
         F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
@@ -301,7 +325,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
             "bucket", "p.i", "p.j", F.when(F.col("p.i") == F.col("p.j"), 2).when(mine == F.col("p.i"), 0).otherwise(1).alias("side"),
             "key", "n", "bands", "sketch", "part")
         dealt = spread.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-        found = cut(candidates(dealt, each).groupBy("a", "b").agg(F.max("more").alias("more")))
+        found = cut(candidates(dealt, each, similar).groupBy("a", "b").agg(F.max("more").alias("more")))
         unfinished = not found.where("more").isEmpty()
         fresh = found.select("a", "b") if tried is None else cut(found.select("a", "b").join(tried, ["a", "b"], "left_anti"))
         if fresh.isEmpty():
@@ -311,7 +335,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
             continue
         if sets is None:
             sets = cut(_sets(rows, nodes, fresh))
-        good = cut(_confirmed(fresh, sets))
+        good = cut(_confirmed(fresh, sets, similar))
         tried = fresh if tried is None else tried.unionByName(fresh)
         part = _joined(good, part)
         each *= MORE

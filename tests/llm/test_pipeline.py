@@ -4,11 +4,12 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from test_text import brute_groups, brute_lines, speech
+from test_text import brute_groups, brute_lines, brute_sets, speech
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
+from storyflow.llm import near_dup
 from storyflow.llm.queries import WORD_BPE
 from storyflow.runtime import scratch_path
 
@@ -86,3 +87,35 @@ def test_all_are_registered():
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
     assert {n.split("_")[0] for n in entry.oracle_sql() if n.startswith("op")} == {"op3", "op5", "op7", "op8", "op9"}
     assert [name for name, _ in pipeline.STAGES] == ["language", "line_dedup", "near_dedup", "mixing", "bpe"]
+
+
+def altered(words, n):
+    """``words`` with ``n`` of them changed, all far apart."""
+    w = list(words)
+    for k in range(n):
+        w[10 + 40 * k] = f"changed{k}"
+    return " ".join(w)
+
+
+def test_near_stage_links_from_eighty_percent(spark, documents):
+    rows, want = [], []
+    for g in range(12):
+        words = [f"w{g}x{random.Random(9 * g).randrange(10**6)}n{k}" for k in range(300)]
+        for n in (0, 5 + g % 3):  # 84.4, 81.6 or 78.8 percent of common shingles
+            rows.append((len(rows), altered(words, n)))
+        a, b = brute_sets(rows[-2][1]), brute_sets(rows[-1][1])
+        assert 78 < 100 * len(a & b) / len(a | b) < 85
+        want += [rows[-2][0]] + [rows[-1][0]] * (100 * len(a & b) < 80 * len(a | b))
+    docs = documents(rows).repartition(3)
+    assert sorted(r.doc_id for r in pipeline.drop_near_duplicates(spark, docs, "").collect()) == want and len(want) == 16
+    assert all(r.kept for r in near_dup.near_duplicates(docs).collect())  # op8 has its own limit
+    assert sorted(r.doc_id for r in near_dup.near_duplicates(docs, similar=80).where("kept").collect()) == want
+
+
+def test_bands_and_margin_follow_the_limit():
+    assert near_dup.bands_for(near_dup.SIMILAR) == near_dup.BANDS and near_dup.margin_for(near_dup.SIMILAR) == near_dup.MARGIN
+    for similar in (80, 85, 90):
+        assert (1 - (similar / 100) ** near_dup.ROWS) ** near_dup.bands_for(similar) < near_dup.MISSED
+    assert near_dup.margin_for(80) > near_dup.MARGIN
+    with pytest.raises(ValueError):
+        near_dup.bands_for(50)
