@@ -15,13 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ..runtime import cut
 from .common import bytes_of, mixed, slices
 
 UNKNOWN = "und"
 ORDERS = (2, 3, 4)  # lengths of the byte n-grams
 BUCKETS = 1 << 16
 WIDTH = 16  # of an embedding
-SAMPLE_ROWS = 600  # rows a language gives for fitting, at most: the documented bound of the sample
+SAMPLE_ROWS = 600  # distinct texts a language gives for fitting, at most: the documented bound of the sample
 WINDOWS, WINDOW_CHARS = 4, 240  # of a sampled row: stretches spread over its whole text
 EPOCHS, RATE, SEED = 6, 0.5, 7
 MIN_SCORE = 0.35  # below it, a calibrated prediction is hardly better than a guess; short clean texts score above it
@@ -90,19 +91,20 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def sample(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, key, piece): windows of up to ``SAMPLE_ROWS`` rows of each language, picked by a digest of the text.
+    """(lang, key, piece): windows of up to ``SAMPLE_ROWS`` distinct texts of each language, picked by a digest of the text.
 
-    A first cut by the digest leaves about four times as many rows of a language, however many it has and however many
-    tasks read them; only these rows' windows are shuffled and ranked.
+    Texts without a letter do not count, and copies count once. A first cut by the digest leaves about four times as many
+    texts of a language, however many it has and however many tasks read them; only their windows are shuffled, copies
+    folded before, and ranked.
     """
-    labelled = docs.where(F.col(lang).isNotNull())
-    share = labelled.groupBy(F.col(lang).alias("lang")).agg((F.lit(4.0 * SAMPLE_ROWS) / F.count("*")).alias("share"))
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
+        F.col(lang).alias("lang"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
+    share = cut(rows.groupBy("lang").agg((F.lit(4.0 * SAMPLE_ROWS) / F.count_distinct("key")).alias("share")))
     room = F.greatest(F.length("text") - WINDOW_CHARS, F.lit(0))
     starts = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda k: (room * k / (WINDOWS - 1)).cast("int")))
-    rows = labelled.where(F.col(text).rlike(r"\p{L}")).select(
-        F.col(lang).alias("lang"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
     few = rows.join(share, "lang").where(F.pmod("key", F.lit(1 << 30)) < F.col("share") * (1 << 30)).withColumn("text", F.lower("text")).select(
-        "lang", "key", F.transform(starts, lambda s: F.substring(F.col("text"), s + 1, F.lit(WINDOW_CHARS))).alias("pieces"))
+        "lang", "key", F.transform(starts, lambda s: F.substring(F.col("text"), s + 1, F.lit(WINDOW_CHARS))).alias("pieces")).groupBy(
+        "lang", "key").agg(F.first("pieces").alias("pieces"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
     return few.withColumn("nth", nth).where(F.col("nth") <= SAMPLE_ROWS).select("lang", "key", F.explode("pieces").alias("piece"))
 

@@ -2,6 +2,7 @@
 
 import random
 import string
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,15 @@ def test_nothing_to_learn(spark, documents):
     assert language.identify(docs.limit(0), language.fit(docs.limit(0))).count() == 0
 
 
+def test_copies_and_empty_texts_take_no_place_in_the_sample(spark, documents):
+    copies = spark.range(100_000).selectExpr("id AS doc_id", "'kolo mira tano' AS text", "'xa' AS lang", "'s' AS source", "1L AS n_chars")
+    blank = copies.selectExpr("doc_id", "if(doc_id % 2 = 0, NULL, '12 3') AS text", "'yb' AS lang", "source", "n_chars")
+    rows = [(k, f"{speech('xa', 12, k)} {k}", "xa") for k in range(700)] + [(k, f"{speech('yb', 12, k)} {k}", "yb") for k in range(40)]
+    docs = documents(rows).unionByName(copies).unionByName(blank)
+    found = [(r.lang, r.key) for r in language.sample(docs).collect()]  # one window each, as all are short
+    assert len(found) == len(set(found)) and Counter(lang for lang, _ in found) == {"xa": language.SAMPLE_ROWS, "yb": 40}
+
+
 def test_prediction_does_not_depend_on_the_batch(spark, documents):
     model = language.fit(documents([(k, speech(lang, 20, k), lang) for k, lang in enumerate(["xa", "yb"] * 20)]))
     a, b = "kolo mira schrift", "recht durch é"
