@@ -5,7 +5,7 @@ value of the lowest bit in which a symbol differs from its left neighbour, repea
 makes labels that depend on a few neighbours only; phrases begin at local maxima of the labels, and a phrase's name, a
 hash of its symbols, is a symbol of the next level. So equal substrings are parsed alike but for their rims, wherever
 they stand. The fingerprint keeps the least name of each of ``SLOTS`` classes over the phrases of all levels from
-``FIRST`` on: two fingerprints agree in the share of phrases that their texts have in common.
+``FIRST`` on, by 16 of its lower bits, which do not shrink as a text grows and its least names do: two fingerprints agree in the share of phrases that their texts have in common.
 """
 
 from __future__ import annotations
@@ -20,8 +20,10 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from .common import bytes_of, mixed, slices, texts
 
 SLOTS = 64
+CLASS_BITS = 6  # lowest bits of a name, its class; the 16 above them are the value
 FIRST = 2  # lower levels have phrases of a few letters, which all texts of a language share
 EMPTY = 0xFFFF
+NONE = np.uint64(0xFFFFFFFFFFFFFFFF)  # no name yet
 CELLS = 1 << 16  # of the id range, for dealing documents in id order
 BUCKET_ROWS = 4096
 _SLICE = 1 << 20
@@ -97,9 +99,8 @@ def _level(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fingerprints(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     """One row of ``SLOTS`` 16-bit values per text; a class without a phrase has ``EMPTY``, an empty text only those."""
     n = len(at) - 1
-    out = np.full((n, SLOTS), EMPTY, np.uint16)
     x, ends, level = mixed(raw.astype(np.uint64) + np.uint64(1)), at, 0
-    found = []
+    least = np.full(n * SLOTS, NONE, np.uint64)
     while len(x):
         x, ends = _level(x, ends)
         level += 1
@@ -108,15 +109,11 @@ def fingerprints(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         use = np.repeat((level >= FIRST) | whole, size)
         owner = np.repeat(np.arange(n), size)
         name = mixed(x[use] + np.uint64(level))
-        found.append((((owner[use].astype(np.uint64) * SLOTS) | (name & np.uint64(SLOTS - 1))) << np.uint64(16)) | np.minimum(name >> np.uint64(48), EMPTY - 1))
+        np.minimum.at(least, owner[use] * SLOTS + (name & np.uint64(SLOTS - 1)).astype(np.int64), name)
         more = np.repeat(~whole, size)
         x, ends = x[more], np.concatenate([[0], np.cumsum(np.where(whole, 0, size))])
-    if found:
-        least = np.sort(np.concatenate(found))
-        where = np.flatnonzero(np.diff(least >> np.uint64(16), prepend=np.uint64(1 << 63)) != 0)
-        key = (least[where] >> np.uint64(16)).astype(np.int64)
-        out[key // SLOTS, key % SLOTS] = (least[where] & np.uint64(0xFFFF)).astype(np.uint16)
-    return out
+    value = np.minimum((least >> np.uint64(CLASS_BITS)) & np.uint64(0xFFFF), EMPTY - 1)
+    return np.where(least == NONE, EMPTY, value).astype(np.uint16).reshape(n, SLOTS)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -252,6 +252,15 @@ def test_shifted_and_halved_texts_stay_near():
     assert near(0, 2) > 0.85 and near(0, 3) > 0.85 and 0.15 < near(0, 4) < 0.6 and near(0, 1) < 0.1 and near(0, 0) == 1
 
 
+def test_unlike_long_texts_agree_by_chance_only():
+    rng = np.random.default_rng(3)
+    raw = rng.integers(0, 256, 6 * 2_000_000, dtype=np.uint8)  # hardly a phrase in common
+    p = fingerprints.fingerprints(raw, np.arange(7) * 2_000_000)
+    agree = [int((p[a] == p[b]).sum()) for a in range(6) for b in range(a)]
+    assert sum(agree) <= 2  # of 15 pairs of 64 classes
+    assert np.median(p) > 0x4000  # values do not shrink with the length
+
+
 def test_edited_documents_follow_in_id_order(spark, documents, monkeypatch):
     monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 7)
     rows = [(k * 5, prose(k % 40, k)) for k in range(60)] + [(1000, None), (1001, "é" * 11), (None, "last of all")]
