@@ -113,10 +113,81 @@ r AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+FILTER_AUDIT = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+l AS (
+  SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+e AS (
+  SELECT *, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+f AS (
+  SELECT part, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic,
+         CASE WHEN len(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN first IS NOT NULL AND (e.doc_id IS NULL OR e.doc_id > first) THEN 'E' ELSE '' END AS fails
+  FROM e LEFT JOIN l ON l.doc_id = e.doc_id),
+c AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, fails),
+x AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (
+  SELECT filter_order, step::INTEGER AS step, filter_order[step] AS letter, filter_order[1:step - 1] AS before FROM o, range(1, 6) r(step)),
+r AS (
+  SELECT part, filter_order, step, letter,
+         coalesce(sum(n) FILTER (translate(fails, before || letter, '') = fails), 0) AS kept,
+         coalesce(sum(n) FILTER (contains(fails, letter) AND translate(fails, before, '') = fails), 0) AS removed,
+         coalesce(sum(n) FILTER (contains(fails, letter) AND translate(fails, before, '') <> fails), 0) AS redundant,
+         coalesce(sum(n) FILTER (fails = letter), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (contains(fails, letter) AND translate(fails, before, '') = fails), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (contains(fails, letter) AND translate(fails, before, '') = fails), 0) AS toxic_lost
+  FROM s, c GROUP BY part, filter_order, step, letter)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM r
+"""
+
+LEXICAL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+i AS (
+  SELECT row_number() OVER () AS item, item_id, list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w
+  FROM benchmark),
+a AS (
+  SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS total FROM d),
+m AS (
+  SELECT row, doc_id, w, 10 + (90 * len(w) * n_docs) // greatest(total, 1) AS m FROM d, a),
+p AS (
+  SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(w) AS term FROM m) GROUP BY row, term),
+t AS (
+  SELECT item, item_id, unnest(w) AS term FROM i),
+v AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM p, a GROUP BY term, n_docs),
+s AS (
+  SELECT item, item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM t JOIN v USING (term) JOIN p USING (term) JOIN m USING (row) GROUP BY item, item_id, row, doc_id),
+r AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score
+  FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
 ORACLES: dict[str, str] = {
     "op3_top_k": NEAREST,
     "op5_mixing": MIX,
     "op7_line_dedup": LINES_GONE,
     "op8_near_duplicates": NEAR_DUPLICATES,
     "op9_page_text": MAIN_TEXT,
+    "op12_filter_audit": FILTER_AUDIT,
+    "op13_lexical_search": LEXICAL,
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import scratch_path, table
-from . import bpe, fingerprints, language, line_dedup, mixing, near_dup, page_text, token_counts, token_file, topk
+from . import bpe, filter_audit, fingerprints, language, lexical, line_dedup, mixing, near_dup, page_text, token_counts, token_file, topk
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -64,6 +64,14 @@ def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited(table(spark, sf_dir, "documents"))
 
 
+def audited_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def ranked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_bpe_round_trip": bpe_round_trip,
     "op2_language": predicted_language,
@@ -75,4 +83,6 @@ QUERIES = {
     "op8_near_duplicates": near_duplicates,
     "op9_page_text": main_texts,
     "op10_fingerprints": document_fingerprints,
+    "op12_filter_audit": audited_filters,
+    "op13_lexical_search": ranked_documents,
 }
