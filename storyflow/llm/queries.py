@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import scratch_path, table
-from . import bpe, filter_audit, fingerprints, language, lexical, line_dedup, mixing, near_dup, page_text, token_counts, token_file, topk
+from . import bpe, filter_audit, fingerprints, language, lexical, line_dedup, mixing, near_dup, page_text, pii, token_counts, token_file, topk
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -64,6 +64,15 @@ def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited(table(spark, sf_dir, "documents"))
 
 
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.fit(docs))
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select(
+        "doc_id", *(F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS),
+        F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
 def audited_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -83,6 +92,7 @@ QUERIES = {
     "op8_near_duplicates": near_duplicates,
     "op9_page_text": main_texts,
     "op10_fingerprints": document_fingerprints,
+    "op11_pii": personal_data,
     "op12_filter_audit": audited_filters,
     "op13_lexical_search": ranked_documents,
 }
