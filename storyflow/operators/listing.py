@@ -17,6 +17,7 @@ class ListingRule:
     min_dashes: int = 0
     title_not_blank: bool = False
     need_url: bool = False
+    url_not_blank: bool = False
     drop_url_prefix: str | None = None
     drop_url_part: str | None = None
     drop_title_parts: tuple[str, ...] = ()
@@ -30,7 +31,7 @@ class ListingRule:
 LISTING_RULES = {
     "FOX": ListingRule(need_url=True, drop_url_prefix="https://www.foxnews.com/video",
                        drop_title_parts=("quiz", "political cartoons of the day")),
-    "CNN": ListingRule(min_title=10, min_dashes=3, min_spaces=2, need_url=True, drop_url_part="cnn.com/audio"),
+    "CNN": ListingRule(min_title=10, min_dashes=3, min_spaces=2, need_url=True, url_not_blank=True, drop_url_part="cnn.com/audio"),
     "WAPO": ListingRule(min_title=3, min_dashes=3, min_spaces=3, min_url=5, cut_from_title="\n"),
     "NYT": ListingRule(min_spaces=3, first_seen_by=("source", "url")),
     "AP": ListingRule(title_not_blank=True, blank_subheading_to_null=True, first_seen_by=("source", "url")),
@@ -83,7 +84,9 @@ def keep_articles(listing: DataFrame, rules: dict[str, ListingRule] = LISTING_RU
         if rule.title_not_blank:
             ok &= F.replace(title, F.lit(" "), F.lit("")) != ""
         if rule.need_url:
-            ok &= url.isNotNull() & ~url.isin("", " ")
+            ok &= url.isNotNull()
+        if rule.url_not_blank:
+            ok &= ~url.isin("", " ")
         if rule.drop_url_prefix:
             ok &= ~url.startswith(rule.drop_url_prefix)
         if rule.drop_url_part:

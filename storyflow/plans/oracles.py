@@ -88,6 +88,20 @@ ARTICLE = f"regexp_extract({CLEAN}, '(?s)<article[^>]*>(.*?)</article>', 1)"
 PARAS = (rf"list_transform(regexp_split_to_array(%s, '<p(?:\s[^>]*)?>')[2:], "
          f"lambda c: {_plain('split_part(c, ' + chr(39) + '</p>' + chr(39) + ', 1)')})")
 
+# what the cards made of each navigation link must read as
+LISTING_CARDS = rf"""
+WITH n AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*', 0) AS host, regexp_extract_all({CLEAN}, '<li><a href="/([^"]*)">([^<]*)</a></li>', 1) AS hrefs,
+                  regexp_extract_all({CLEAN}, '<li><a href="/([^"]*)">([^<]*)</a></li>', 2) AS raws FROM pages),
+l AS (SELECT page_id, host, unnest(hrefs) AS x, unnest(raws) AS raw, generate_subscripts(hrefs, 1) - 1 AS pos FROM n),
+p AS (SELECT page_id, host, pos, x, {_plain('raw')} AS t FROM l),
+c AS (SELECT page_id, source, pos::INTEGER AS pos, CASE source WHEN 'FOX' THEN trim(t || ' for the day') WHEN 'WAPO' THEN trim(t || ' of this day' || chr(10) || ' now')
+               WHEN 'NYT' THEN trim(t || ' one two three') WHEN 'HuffPost' THEN trim('Opinion: ' || t || ' one two three') ELSE t END AS title,
+             host || '/' || x || CASE source WHEN 'WAPO' THEN '-a-b-c' ELSE '' END AS url,
+             CASE source WHEN 'NYT' THEN '2024-01-05' WHEN 'NPR' THEN '2024-01-05' WHEN 'CBS' THEN '2024-01-29' ELSE '2024-01-30' END AS date,
+             CASE WHEN source NOT IN ('NYT', 'CBS') THEN 'https://i.example.org/' || x || '.png' END AS image,
+             CASE source WHEN 'FOX' THEN NULL WHEN 'NPR' THEN trim('Jan 5 • About ' || t) ELSE trim('About ' || t) END AS subheading
+      FROM p, (VALUES ('FOX'), ('WAPO'), ('NYT'), ('AP'), ('NPR'), ('HuffPost'), ('CBS')) s(source))"""
+
 ORACLES["page_body_text"] = f"""
 WITH b AS (SELECT page_id, array_to_string({PARAS % ARTICLE}, ' ') AS body FROM pages)
 SELECT page_id, length(body) AS chars, md5(body) AS body_md5 FROM b"""
@@ -99,6 +113,18 @@ b AS (SELECT page_id, source, CASE WHEN source IN ('NYT', 'OTHER') THEN NULL WHE
       FROM p, (VALUES ('FOX'), ('NPR'), ('AP'), ('CBS'), ('NYT'), ('OTHER')) s(source))
 SELECT page_id, source, coalesce(length(body), -1) AS chars, md5(body) AS body_md5 FROM b"""
 
+ORACLES["listing_cards"] = LISTING_CARDS + """
+SELECT page_id, source, 'front' AS section, pos, title, url, date, image, subheading FROM c"""
+
+ORACLES["listing_articles"] = LISTING_CARDS + """,
+t AS (SELECT page_id, source, pos, url, trim(CASE source WHEN 'HuffPost' THEN replace(title, 'Opinion:', '') WHEN 'WAPO' THEN replace(title, chr(10), '') ELSE title END) AS title,
+             CASE source WHEN 'NPR' THEN trim(substr(subheading, strpos(subheading, '•') + 1)) ELSE subheading END AS subheading FROM c),
+k AS (SELECT *, length(title) - length(replace(title, ' ', '')) AS blanks, length(url) - length(replace(url, '-', '')) AS dashes FROM t
+      WHERE NOT (source = 'FOX' AND (contains(lower(title), 'quiz') OR contains(lower(title), 'political cartoons of the day')))),
+g AS (SELECT * FROM k WHERE source IN ('FOX', 'CBS', 'AP', 'NPR') OR blanks >= 3 AND (source <> 'WAPO' OR dashes >= 3)),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, url ORDER BY page_id, pos) AS nth FROM g)
+SELECT page_id, source, pos, title, url, subheading FROM r WHERE nth = 1 OR source IN ('FOX', 'WAPO', 'CBS')"""
+
 ORACLES["page_headline"] = f"""
 SELECT page_id, {H1} AS headline, {TITLE} AS page_title, {_element('(?s)<h2[^>]*>(.*?)</h2>')} AS subheading,
        nullif(regexp_extract({CLEAN}, '<time[^>]*datetime="([^"]*)"', 1), '') AS published,

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..config import FreshParams, StoryParams, SummaryParams
 from ..functions import dates as D, html as H, text as T
-from ..operators import clusters as C, components as G, groups as R, keywords as K, listing as L, load as N
+from ..operators import cards as E, clusters as C, components as G, groups as R, keywords as K, listing as L, load as N
 from ..operators import pages as P, rouge as Q, similarity as S, summary as Z, vectors as V
 from ..runtime import cut, scratch_path, spread, table
 from ..sources import files as I
@@ -227,6 +227,50 @@ def page_body_by_source(spark, folder):
     return out.select("page_id", "source", F.coalesce(F.length("body"), F.lit(-1)).alias("chars"), F.md5(F.col("body").cast("binary")).alias("body_md5"))
 
 
+# a listing card of each source, made of a link of the page: $1 is its target, $2 its text
+CARDS = {
+    "FOX": """<article><a href="/$1"><img src="https://i.example.org/$1.png"></a><div><a href="/s">S</a><span class="time">3 hours ago</span></div>
+              <h4><a href="/$1">$2 for the day</a></h4></article>""",
+    "WAPO": """<DIV data-feature-id='homepage/story'><div><a href="/$1-a-b-c"><span data-qa="card-title">$2 of this day\n now</span></a></div>
+               <p>About $2</p><img src=https://i.example.org/$1.png></DIV>""",
+    "NYT": """<li><article><a class="x" href='/$1'><h3>$2 one two three</h3></a><p>About $2</p></article>
+              <div><span data-testid="todays-date">Jan. 5, 2024</span></div></li>""",
+    "AP": """<div class="PageList-items-item"><picture><source srcset="https://i.example.org/$1.png"></picture><a href="/$1">
+             <span class="x PagePromoContentIcons-text">$2</span></a><span class="PagePromoContentIcons-text">About $2</span></div>""",
+    "NPR": """<article class="item big has-image"><picture><img src="https://i.example.org/$1.png"></picture><h2 class="title"><a href=/$1>$2</a></h2>
+              <p class="teaser"><a href="/$1"><time datetime="2024-01-05T22:00:00-05:00">Jan 5</time> • About $2</a></p></article>""",
+    "HuffPost": """<div class="js-card zone card"><a href="/$1"><img src="https://i.example.org/$1.png"></a><div class="card__text">
+                   <h3 class="card__headline__text">Opinion: $2 one two three</h3><div class="card__description">About $2</div></div></div>""",
+    "CBS": """<article class="item"><a href="/$1"><h4 class="item__hed">$2</h4><p class="item__dek">About $2</p><span class="item__date">26h ago</span></a></article>""",
+}
+
+
+def _cards(spark, folder) -> DataFrame:
+    """Every page as a listing of every source: each link of its navigation is a card, AP's after two segments of its head."""
+    pages = _pages(spark, folder).select(
+        "page_id", F.col("url").alias("section_url"), F.lit("front").alias("section"), "html", F.explode(F.array(*(F.lit(s) for s in CARDS))).alias("source"))
+    html = F.col("html")
+    for name, card in CARDS.items():
+        html = F.when(F.col("source") == name, F.regexp_replace("html", '<li><a href="/([^"]*)">([^<]*)</a></li>', card)).otherwise(html)
+    head = '<ul class="PageList-items"><li class="PageList-items-item"><a href="/head"><b class="PagePromoContentIcons-text">head</b></a></li></ul>'
+    held = F.when(F.col("source") == "AP", F.regexp_replace(html, "(?s)<ul>(.*?)</ul>", f'{head}{head}<div class="PageList-items">$1</div>')).otherwise(html)
+    return E.listing_cards(pages.withColumn("html", held), as_of())
+
+
+@query
+def listing_cards(spark, folder):
+    out = _cards(spark, folder)
+    return out.select("page_id", "source", "section", "pos", "title", "url", F.col("date").cast("string").alias("date"), "image", "subheading")
+
+
+@query
+def listing_articles(spark, folder):
+    """The cards that count as articles, tidied, each once as its source counts."""
+    rows = _cards(spark, folder).withColumn("pos", F.struct("page_id", "pos"))
+    out = L.first_seen(L.keep_articles(L.tidy(rows)))
+    return out.select("page_id", "source", F.col("pos.pos").alias("pos"), "title", "url", "subheading")
+
+
 @query
 def page_headline(spark, folder):
     return P.page_fields(_pages(spark, folder)).select(

@@ -1,0 +1,149 @@
+"""Listing cards: the page scan, the rules of each source, odd markup."""
+
+import random
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from storyflow.functions import dates as D, html as H
+from storyflow.operators import cards as C, listing as L, pages as P
+
+def as_of():
+    return F.lit("2024-01-30 12:00:00").cast("timestamp")
+
+
+PAGES = "n int, source string, section string, section_url string, html string"
+
+
+def cards(spark, rows):
+    pages = spark.createDataFrame([(n, s, "front", "https://news.example.org/a/b?c", h) for n, (s, h) in enumerate(rows)], PAGES)
+    return sorted(C.listing_cards(pages.withColumn("card", F.lit("clash")), as_of()).collect(), key=lambda r: (r.n, r.pos))
+
+
+def shown(rows):
+    return [(r.title, r.url, str(r.date), r.image, r.subheading) for r in rows]
+
+
+FIXTURES = {
+    "FOX": ('<article class="a"><a href="/x"><img src="/i.png"></a><a href="/s">Section</a><span class="big time">2 days ago</span>'
+            '<h4><A HREF="/x">A story <b>here</b></A></h4></article><article><a href="/y"></a><a href="/y"> Only this </a></article><article>none</article>',
+            [("A story here", "https://news.example.org/x", "2024-01-28", "/i.png", None), ("Only this", "https://news.example.org/y", "2024-01-30", None, None)]),
+    "WAPO": ("<section data-feature-id=homepage/story><a href='https://w.org/1'><span data-qa='card-title'>One &amp; two</span></a><p>Sub<br></section>"
+             '<div data-feature-id="homepage/other"><a href="/n">n</a></div><div data-feature-id="homepage/story"><a href="/t">no title</a></div>',
+             [("One & two", "https://w.org/1", "2024-01-30", None, "Sub")]),
+    "NYT": ('<ol><li><article><a href="/1"><h3>First one</h3></a><p>Sub</p></article><span data-testid="todays-date">3h ago</span></li>'
+            '<li><div><article><a href="/2">Second</a></article></div><span data-testid="todays-date">Jan. 5, 2024</span></li></ol>',
+            [("First one", "https://news.example.org/1", "2024-01-30", None, "Sub"), ("Second", "https://news.example.org/2", "2024-01-30", None, None)]),
+    "AP": ('<div class="PageList-items"><p class="PageList-items-item"><a href="/h"><b class="PagePromoContentIcons-text">h</b></a></p></div>' * 2
+           + '<div class="PageList-items"><div class="PageList-items-item"><source srcset=/s.png><a href="/1"><i class="PagePromoContentIcons-text">T</i></a>'
+             '<i class="PagePromoContentIcons-text">S</i></div><div class="PageList-items-item"><a href="/2">none</a></div></div>',
+           [("T", "https://news.example.org/1", "2024-01-30", "/s.png", "S")]),
+    "NPR": ('<article class="has-image item"><a href="/not">x</a><h2 class="title"><a href="/1">T</a></h2><p class="teaser"><a href="/1"><time datetime="2024-01-02">'
+            'Jan 2</time> • S</a></p><picture><img src="/p.png"></picture></article><article class="item"><h2 class="title"><a href="/2">T</a></h2></article>',
+            [("T", "https://news.example.org/1", "2024-01-02", "/p.png", "Jan 2 • S")]),
+    "HuffPost": ('<div class="card js-card"><a href="/1">x</a><h3 class="card__headline__text">T</h3><div class="card js-card"><a href="/2">y</a>'
+                 '<h3 class="card__headline__text">U</h3><div class="card__description">S</div></div></div>',
+                 [("T", "https://news.example.org/1", "2024-01-30", None, "S"), ("U", "https://news.example.org/2", "2024-01-30", None, "S")]),
+    "CBS": ('<article><a href="/1"><h4 class="item__hed ">T</h4><p class="item__dek">S</p><li class="item__date">JAN 06</li></a></article>',
+            [("T", "https://news.example.org/1", "2024-01-06", None, "S")]),
+}
+
+
+@pytest.mark.parametrize("source", FIXTURES)
+def test_cards_of_each_source(spark, source):
+    html, expected = FIXTURES[source]
+    assert shown(cards(spark, [(source, html)])) == expected
+
+
+def test_pages_without_cards_and_further_columns(spark):
+    got = cards(spark, [("CBS", None), ("CBS", ""), ("CBS", "<p>no"), ("???", FIXTURES["CBS"][0]), ("CBS", FIXTURES["CBS"][0] * 3), (None, "x"),
+                        ("CBS", "<!-- " + FIXTURES["CBS"][0] + " --><script>" + FIXTURES["CBS"][0] + "</script>")])
+    assert [(r.n, r.pos, r.card) for r in got] == [(4, 0, "clash"), (4, 1, "clash"), (4, 2, "clash")]
+
+
+def test_listing_goes_on_from_the_cards(spark):
+    twice = FIXTURES["NPR"][0] + FIXTURES["NPR"][0] + '<div class="item has-image"><h2 class="title"><a href="/9"> </a></h2></div>'
+    rows = C.listing_cards(spark.createDataFrame([(1, "NPR", "front", "https://n.org/", twice)], PAGES), as_of())
+    out = L.first_seen(L.keep_articles(L.tidy(rows))).collect()
+    assert [(r.pos, r.title, r.subheading) for r in out] == [(0, "T", "S")]
+
+
+def brute_scan(page):
+    """Elements by looking for the end tag of each opening tag, counting depth: for well-nested pages only."""
+    tags = list(C.TAG.finditer(page))
+    out = []
+    for k, m in enumerate(tags):
+        if m[1]:
+            continue
+        depth, end = 1, m.end()
+        if m[2] not in H.VOID:
+            for later in tags[k + 1 :]:
+                if later[2] not in H.VOID:
+                    depth += -1 if later[1] else 1
+                if depth == 0:
+                    end = later.end()
+                    break
+        out.append((m[2], m.start(), end))
+    return out
+
+
+def nested(rng, depth=0):
+    inside = "".join(rng.choice(["x", "<br>", "<img src=a>", nested(rng, depth + 1) if depth < 4 else "y"]) for _ in range(rng.randint(0, 4)))
+    tag = rng.choice(["div", "p", "a", "li"])
+    return f"<{tag} class=c>{inside}</{tag}>"
+
+
+def test_scan_equals_brute_force_on_nested_pages():
+    rng = random.Random(2)
+    for _ in range(200):
+        page = "".join(nested(rng) for _ in range(3))
+        tree = C.scan(page)
+        assert [(e.name, e.start, e.end) for e in tree] == brute_scan(page)
+        for n, e in enumerate(tree):
+            around = [k for k, o in enumerate(tree) if o.start < e.start and e.end <= o.end and k != n]
+            assert e.up == max(around, default=-1)
+
+
+def test_scan_of_malformed_pages_is_linear():
+    begun = time.time()
+    for page in ("<a " * 100_000, "<div>" * 50_000 + "</section>" * 50_000, "<p>" * 100_000, "</p>" * 100_000, "<div><p>" * 50_000 + "</div>" * 50_000):
+        C.scan(page)
+    assert time.time() - begun < 10
+    tree = C.scan("<div>a<p>b<p>c</div>d<li>e")
+    assert [(e.name, e.start, e.end) for e in tree] == [("div", 0, 20), ("p", 6, 14), ("p", 10, 14), ("li", 21, 26)]
+
+
+def test_selectors_and_links(spark):
+    rows = [('<DIV Class = "x card y">', 1), ("<div class='card'>", 1), ("<b class=card>", 1), ('<div class="cards">', 0), ('<div id="card">', 0), ('<divclass="card">', 0)]
+    got = spark.createDataFrame(rows, "h string, n int").select(F.col("h").rlike(H.by_class("card")).cast("int").alias("x"), "n").collect()
+    assert [r.x for r in got] == [r.n for r in got]
+    cases = {"/q": "https://a.b/q", "q": "https://a.b/c/q", "//z/q": "https://z/q", "mailto:x": "mailto:x", "#f": "https://a.b/c/d?x#f", "?p": "https://a.b/c/d?p"}
+    out = spark.createDataFrame([(k,) for k in cases], "h string").select("h", H.absolute(F.col("h"), F.lit("https://a.b/c/d?x#y")).alias("x")).collect()
+    assert {r.h: r.x for r in out} == cases
+    links = spark.createDataFrame([("<a href=x>1</a><a class='c' href='y'>2</a><A HREF=\"z\">3</A><a>4</a>",)], "h string").select(H.links(F.col("h")).alias("l")).first().l
+    assert [(x.href, x.text) for x in links] == [("x", "1"), ("y", "2"), ("z", "3")]
+
+
+def test_dates_by_source(spark):
+    rows = [("FOX", "3 days ago", "2024-01-27"), ("NYT", "2d ago", "2024-01-28"), ("NYT", "January 7, 2024", "2024-01-07"), ("NPR", "2024-01-05T23:00:00-05:00", "2024-01-05"),
+            ("CBS", "updated 26h ago", "2024-01-29"), ("CBS", "JAN 06", "2024-01-06"), ("AP", "3 days ago", "2024-01-30"), ("FOX", None, "2024-01-30"),
+            ("NYT", "junk", "2024-01-30"), (None, "2d ago", "2024-01-30")]
+    got = spark.createDataFrame(rows, "s string, d string, x string").select(D.by_source(F.col("s"), F.col("d"), as_of()).cast("string").alias("d"), "x").collect()
+    assert [r.d for r in got] == [r.x for r in got]
+
+
+def test_bodies_in_any_tag(spark):
+    rows = [("FOX", "<section class='x article-body'><p>lead</p><p>a</p></section><p>out</p>", "a"), ("HuffPost", '<div id="entry-body"><p>a</p><div><p>b</p></div></div>', "a b"),
+            ("CBS", "<DIV class=content__body><P>a</P></DIV><p>out", "a"), ("AP", '<main class="Page-content"><p>a</p></main><p>out</p>', "a"),
+            ("NPR", "<div id='storytext'><p>a</p></div>", "a"), ("CNN", '<div data-component-name="paragraph">a</div><footer>foot</footer>', "a"),
+            ("CNN", '<p data-component-name="paragraph">a<p data-component-name="paragraph">b</p>x<div class="y" data-component-name=paragraph>c <b>d</b></div>', "a b c d")]
+    out = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "n int, source string, html string, x string").withColumn(
+        "body", P.body_by_source(F.col("source"), F.col("html"))).orderBy("n").collect()
+    assert [r.body for r in out] == [r.x for r in out]
+
+
+def test_fields_of_odd_markup(spark):
+    html = "<HTML LANG=de><Title>T</Title><H1 class=a>Head</H1><h2>Sub</h2><time class='x' datetime='2024-01-01'>now</time><a href=u>l</a>"
+    r = P.page_fields(spark.createDataFrame([(html,)], "html string")).first()
+    assert (r.headline, r.page_title, r.subheading, r.published, r.first_link, r.language) == ("Head", "T", "Sub", "2024-01-01", "u", "de")

@@ -83,10 +83,10 @@ def test_paragraphs(spark):
 
 def test_balanced_container(spark):
     html = '<div>o</div><div id="t">1<div>2<div>3</div></div>4</div>5'
-    assert one(spark, html, lambda c: H.balanced(c, r'<div id="t">', "div")) == "1<div>2<div>3</div></div>4"
-    assert one(spark, '<div id="t">1<div>2', lambda c: H.balanced(c, r'<div id="t">', "div")) == "1<div>2"
-    assert one(spark, '<div id="t"></div>x', lambda c: H.balanced(c, r'<div id="t">', "div")) == ""
-    assert one(spark, "<p>x</p>", lambda c: H.balanced(c, r'<div id="t">', "div")) is None
+    assert one(spark, html, lambda c: H.inner(H.first_element(c, H.by_attribute("id", "t")))) == "1<div>2<div>3</div></div>4"
+    assert one(spark, '<div id="t">1<div>2', lambda c: H.inner(H.first_element(c, H.by_attribute("id", "t")))) == "1<div>2"
+    assert one(spark, '<div id="t"></div>x', lambda c: H.inner(H.first_element(c, H.by_attribute("id", "t")))) == ""
+    assert one(spark, "<p>x</p>", lambda c: H.inner(H.first_element(c, H.by_attribute("id", "t")))) is None
 
 
 def test_references_images_and_written_days(spark):
