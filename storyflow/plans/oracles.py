@@ -398,6 +398,37 @@ SELECT art AS id FROM cln"""
 ORACLES["grouped_texts"] = """
 SELECT conv_id, 0 AS part, count(*) AS n, md5(string_agg(text, '<doc-sep>' ORDER BY turn)) AS joined_md5 FROM conversations GROUP BY conv_id"""
 
+# Longest common subsequence by thresholds: t[k] is the shortest beginning of the one text that has k letters in common, in order, with
+# what was read of the other. A letter moves every t[k] to its next place after t[k - 1], if that is nearer, and may add one.
+NEAR_PAIRS = _cleaned("""SELECT conv_id AS grp, turn AS art, text FROM conversations UNION ALL
+  SELECT conv_id, turn + 1000, CASE WHEN length(text) > 600 THEN regexp_replace(text, '((?:[^ ]+ ){2})[^ ]+ ', '\\1', 'g')
+         ELSE regexp_replace(text, '((?:[^ ]+ ){4})[^ ]+ ', '\\1', 'g') END FROM conversations""") + """,
+q AS (SELECT a.grp, a.art AS i, b.art AS j, a.text AS x, b.text AS y, length(a.text) AS n, length(b.text) AS m
+      FROM cln a JOIN cln b ON a.grp = b.grp AND a.art < b.art AND a.text <> b.text AND 200 * least(length(a.text), length(b.text)) > 85 * (length(a.text) + length(b.text))),
+u AS (SELECT DISTINCT grp, i, x, n FROM q),
+h AS (SELECT grp, i, n, unnest(range(1, n + 1)) AS p, substring(x, p, 1) AS ch FROM u),
+e AS (SELECT u.grp, u.i, d.ch, unnest(range(0, u.n + 1)) AS p FROM u JOIN (SELECT DISTINCT grp, i, ch FROM h) d ON d.grp = u.grp AND d.i = u.i),
+f AS (SELECT e.grp, e.i, e.ch, e.p, min(h.p) OVER (PARTITION BY e.grp, e.i, e.ch ORDER BY e.p ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx
+      FROM e LEFT JOIN h ON h.grp = e.grp AND h.i = e.i AND h.p = e.p AND h.ch = e.ch),
+g AS (SELECT grp, i, ch, list(coalesce(nx, 1000000000)::INTEGER ORDER BY p) AS nx FROM f GROUP BY grp, i, ch),
+z AS MATERIALIZED (SELECT grp, i, map_from_entries(list((ch, nx))) AS nx FROM g GROUP BY grp, i),
+t(grp, i, j, step, t) USING KEY (grp, i, j) AS (
+  SELECT grp, i, j, 0, []::INTEGER[] FROM q
+  UNION
+  SELECT grp, i, j, step + 1, CASE WHEN nx IS NULL THEN t ELSE list_transform(range(1, len(t) + 1), lambda k: least(t[k], nx[CASE WHEN k = 1 THEN 1 ELSE t[k - 1] + 1 END]))
+         || list_filter([nx[CASE WHEN len(t) = 0 THEN 1 ELSE t[len(t)] + 1 END]], lambda v: v < 1000000000) END
+  FROM (SELECT t.*, z.nx[substring(q.y, step + 1, 1)] AS nx FROM t JOIN q USING (grp, i, j) JOIN z USING (grp, i) WHERE step < m)),
+np AS (SELECT grp, i, j, n, m, 200.0 * len(t) / (n + m) AS ratio FROM t JOIN q USING (grp, i, j) WHERE 200 * len(t) > 85 * (n + m))"""
+
+ORACLES["near_pairs_in_talks"] = f"""
+WITH RECURSIVE {NEAR_PAIRS}
+SELECT grp AS conv_id, i AS first_turn, j AS second_turn, round(ratio, 6) AS ratio FROM np"""
+
+ORACLES["near_repeats_in_talks"] = f"""
+WITH RECURSIVE {NEAR_PAIRS},
+gone AS (SELECT grp, i AS art FROM np WHERE n <= m UNION SELECT grp, j FROM np WHERE m <= n)
+SELECT cln.grp AS conv_id, cln.art AS turn, gone.art IS NOT NULL AS gone FROM cln LEFT JOIN gone ON gone.grp = cln.grp AND gone.art = cln.art"""
+
 CENTER = rf"""
 {_cleaned(TALK)},
 tok AS (SELECT grp, art, unnest({TOKENS}) AS term FROM cln),

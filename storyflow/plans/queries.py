@@ -615,6 +615,29 @@ def story_digests(spark, folder):
     return Z.extractive_summary(texts, SummaryParams(sentences=5)).select(F.col("group").alias("story"), "summary")
 
 
+def _edited_talks(spark, folder) -> DataFrame:
+    """Each turn and an edit of it without every fifth word, longer ones without every third."""
+    talks = _talks(spark, folder)
+    few = F.regexp_replace("text", "((?:[^ ]+ ){4})[^ ]+ ", "$1")
+    more = F.regexp_replace("text", "((?:[^ ]+ ){2})[^ ]+ ", "$1")
+    return talks.unionByName(talks.select("group", (F.col("article") + 1000).alias("article"), F.when(F.length("text") > 600, more).otherwise(few).alias("text")))
+
+
+@query
+def near_repeats_in_talks(spark, folder):
+    """Pairs above the bound and what goes, among the turns of each conversation and their edits."""
+    texts = cut(R.clean_groups(_edited_talks(spark, folder)))
+    gone = R.near_repeats(texts).withColumn("gone", F.lit(True))
+    return texts.join(gone, ["group", "article"], "left").select(
+        F.col("group").alias("conv_id"), F.col("article").alias("turn"), F.coalesce("gone", F.lit(False)).alias("gone"))
+
+
+@query
+def near_pairs_in_talks(spark, folder):
+    out = R.near_pairs(cut(R.clean_groups(_edited_talks(spark, folder))))
+    return out.select(F.col("group").alias("conv_id"), F.col("i").alias("first_turn"), F.col("j").alias("second_turn"), _r("ratio").alias("ratio"))
+
+
 @query
 def near_repeats_in_stories(spark, folder):
     docs = _docs(spark, folder)

@@ -16,7 +16,7 @@ QUICK = [
     "tfidf_weights", "sentence_split", "lexicon_match", "lexicon_words", "lexicon_table_join", "pos_filter", "entity_filter",
     "keyword_fusion", "keyword_ranking", "cross_source_story_clusters", "adjusted_edges", "embedding_edges", "insert_if_absent",
     "clean_groups", "dedup_texts_ci", "grouped_texts", "centroid_scores", "extractive_summary", "rouge2", "abstractive_summary",
-    "stream_first_seen"]
+    "stream_first_seen", "listing_cards", "listing_articles", "near_pairs_in_talks"]
 
 
 @pytest.fixture(scope="module")
