@@ -429,8 +429,7 @@ WITH RECURSIVE {NEAR_PAIRS},
 gone AS (SELECT grp, i AS art FROM np WHERE n <= m UNION SELECT grp, j FROM np WHERE m <= n)
 SELECT cln.grp AS conv_id, cln.art AS turn, gone.art IS NOT NULL AS gone FROM cln LEFT JOIN gone ON gone.grp = cln.grp AND gone.art = cln.art"""
 
-CENTER = rf"""
-{_cleaned(TALK)},
+SCORED = rf"""
 tok AS (SELECT grp, art, unnest({TOKENS}) AS term FROM cln),
 tf AS (SELECT grp, art, term, count(*) AS tf FROM tok WHERE term NOT IN ({STOP}) GROUP BY ALL),
 idf AS MATERIALIZED (SELECT term, ln((1 + (SELECT count(*) FROM cln)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY term),
@@ -446,11 +445,11 @@ sc AS MATERIALIZED (SELECT sen.grp, sen.art, sen.spos, sen.text, round(coalesce(
   FROM sen LEFT JOIN (SELECT sw.grp, art, spos, sum(sw.w * cen.w) AS d FROM sw JOIN cen ON cen.grp = sw.grp AND cen.term = sw.term GROUP BY ALL) x
     ON x.grp = sen.grp AND x.art = sen.art AND x.spos = sen.spos
   LEFT JOIN nrm ON nrm.grp = sen.grp AND nrm.art = sen.art AND nrm.spos = sen.spos LEFT JOIN cn ON cn.grp = sen.grp)"""
+CENTER = _cleaned(TALK) + "," + SCORED
 
 ORACLES["centroid_terms"] = f"WITH {CENTER} SELECT grp AS conv_id, term, round(w, 6) AS w FROM cen"
 ORACLES["centroid_scores"] = f"WITH {CENTER} SELECT grp AS conv_id, art AS turn, CAST(spos AS INT) AS spos, score FROM sc"
-ORACLES["extractive_summary"] = f"""
-WITH RECURSIVE {CENTER},
+PICKED = """
 rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, art, spos) AS r FROM sc),
 sn AS MATERIALIZED (SELECT rk.grp, r, term, w / n AS w FROM sw JOIN nrm USING (grp, art, spos) JOIN rk USING (grp, art, spos)),
 cf AS MATERIALIZED (SELECT grp, r, list(q) AS qs FROM (SELECT a.grp, a.r, b.r AS q FROM sn a JOIN sn b ON a.grp = b.grp AND a.term = b.term AND b.r < a.r
@@ -458,9 +457,24 @@ cf AS MATERIALIZED (SELECT grp, r, list(q) AS qs FROM (SELECT a.grp, a.r, b.r AS
 pick AS (SELECT grp, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS got FROM (SELECT DISTINCT grp FROM rk)
   UNION ALL SELECT p.grp, rk.r, CASE WHEN len(p.got) < 3 AND NOT list_has_any(coalesce(cf.qs, []), p.got) THEN list_append(p.got, rk.r) ELSE p.got END
   FROM pick p JOIN rk ON rk.grp = p.grp AND rk.r = p.r + 1 LEFT JOIN cf ON cf.grp = rk.grp AND cf.r = rk.r),
-fin AS (SELECT grp, unnest(got) AS r FROM (SELECT grp, arg_max(got, r) AS got FROM pick GROUP BY grp))
+fin AS (SELECT grp, unnest(got) AS r FROM (SELECT grp, arg_max(got, r) AS got FROM pick GROUP BY grp))"""
+
+ORACLES["extractive_summary"] = f"""
+WITH RECURSIVE {CENTER},{PICKED}
 SELECT rk.grp AS conv_id, string_agg(text, ' ' ORDER BY art, spos) AS summary FROM fin JOIN rk ON rk.grp = fin.grp AND rk.r = fin.r GROUP BY rk.grp"""
 
+# stories by all pairs, their strong and fresh ones with a keyword that all members hold, and the digest of each
+STRONG = f"""
+WITH RECURSIVE {_story_sql(True)}, {SHARED},
+strong AS (SELECT story FROM wgt WHERE {WEIGHT} >= 0.8 AND story IN (SELECT story FROM shk)
+  AND story IN (SELECT story FROM comp WHERE {DATE.replace('doc_id', 'id')} >= CAST({ASOF} AS DATE) - 2))
+SELECT story, id FROM comp WHERE story IN (SELECT story FROM strong)"""
+MEMBERS = f"SELECT story AS grp, md5({URL}) AS art, nullif(trim(text), '') AS text FROM member JOIN documents ON doc_id = id"
+ORACLES["daily_run"] = f"""
+WITH RECURSIVE member AS MATERIALIZED ({STRONG}), {_cleaned(MEMBERS)},{SCORED},{PICKED},
+sm AS (SELECT rk.grp, string_agg(text, ' ' ORDER BY art, spos) AS summary FROM fin JOIN rk ON rk.grp = fin.grp AND rk.r = fin.r GROUP BY rk.grp)
+SELECT min({URL}) AS first_url, md5(any_value(summary)) AS summary_md5 FROM sm JOIN member ON story = grp JOIN documents ON doc_id = id GROUP BY grp"""
+
 ORACLES["abstractive_summary"] = f"""
 WITH {_cleaned(TALK)}, f AS (SELECT grp, string_agg(split_part(text, ' ', 1), ' ' ORDER BY art) AS summary FROM cln GROUP BY grp)
 SELECT DISTINCT conv_id, coalesce(summary, 'No content to summarize.') AS summary FROM conversations LEFT JOIN f ON grp = conv_id"""

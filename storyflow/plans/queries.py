@@ -20,6 +20,7 @@ from ..runtime import cut, scratch_path, spread, table
 from ..sources import files as I
 from ..sources.tables import Tables, new_rows
 from ..streaming import ingest as X
+from .daily import daily_run as run_day
 from .stories import find_dense_stories, find_stories, unique_articles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -558,6 +559,19 @@ def story_corpus(spark, folder):
     return out.groupBy(F.md5(F.col("article_content").cast("binary")).alias("content_md5")).agg(F.count("*").alias("n"))
 
 
+@query
+def daily_run(spark, folder):
+    """From the documents as articles, and as pages, to the stored summaries, run a second time to the same tables."""
+    tables = Tables(spark, scratch_path(spark, "daily"))
+    rows = _collected(spark, folder).drop("id").withColumn("date", F.col("date").cast("string"))
+    marked = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    pages = rows.select("url", F.concat(F.lit("<nav>x</nav><article><p>"), marked, F.lit("</p></article>")).alias("html"))
+    for _ in range(2):
+        run_day(tables, "day-1", rows, pages, as_of().cast("date"), body=lambda source, html: P.rule_body(html, P.PLAIN_ARTICLE))
+    first = tables.read("junct_simart_articles").join(tables.read("articles"), "article_id").groupBy("simart_id").agg(F.min("url").alias("first_url"))
+    return tables.read("similar_article_summaries").join(first, "simart_id").select("first_url", F.md5(F.col("summary").cast("binary")).alias("summary_md5"))
+
+
 # ---------------------------------------------------------------- groups, digests, scores
 
 def _talks(spark, folder) -> DataFrame:
