@@ -54,7 +54,7 @@ class ChunkTable:
     def __init__(self, path: str, make, single):
         self.special = special_tokens(path)
         self.single = single
-        self.chunks = Memo(lambda c: make(" " + c), 500_000)
+        self.chunks = Memo(lambda c: make(" " + c), 250_000)
         self.make = lambda c: make(c) if c else b""
 
     def plain(self, text: str) -> bytes:

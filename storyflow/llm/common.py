@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Callable, Iterator
 
@@ -21,6 +22,15 @@ def kept(name: str, key: str, make: Callable):
     return held[name, key]
 
 
+def trimmed() -> None:
+    """Give memory that is free in this worker back, so that it is there for the executor's other workers and later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no such function with this C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut incoming batches so that ``column`` holds about ``limit`` bytes, whatever the length of one text."""
     for batch in batches:

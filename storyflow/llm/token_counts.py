@@ -21,11 +21,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .byte_pieces import PIECES, ChunkTable, library, piece_ids
-from .common import bytes_of, kept, slices
+from .common import bytes_of, kept, mixed, slices, trimmed
 
 BLOCK_BYTES = 32 << 20  # of text; one block's postings are in a task's memory at once
 HOT = 64  # documents of a block with a pre-token, from which on its rows are not brought together
-NAMES = 1_500_000  # distinct pre-tokens a worker numbers before it starts anew
+NAMES = 300_000  # distinct pre-tokens a worker numbers before it starts anew
 FREQ_BITS = 12
 
 
@@ -119,9 +119,11 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str
                     empty(pa.int32(), k), empty(pa.int64(), k), empty(pa.int64(), k),
                     *(empty(batch.column(c).type, k) for c in names)], names=found.names)
             yield pa.RecordBatch.from_arrays([
-                empty(pa.string(), n), pa.array((block << 14) + np.arange(n)), pa.array(np.full(n, block)),
+                empty(pa.string(), n), pa.array(mixed(np.uint64(block) ^ mixed(np.arange(n, dtype=np.uint64))).view(np.int64)), pa.array(np.full(n, block)),
                 empty(pa.binary(), n), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.diff(wide)),
                 pa.array(known), *(batch.column(c) for c in names)], names=found.names)
+            del flat, places, packed, words
+            trimmed()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (None, 0)
