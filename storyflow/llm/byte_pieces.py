@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -81,10 +82,7 @@ class ChunkTable:
         known = self.chunks
 
         def look_up(chunks: list[str]) -> list[bytes]:
-            if make_all is not None:
-                new = [c for c in chunks if c not in known and c not in known.old]
-                known.fresh = dict(zip(new, make_all(new)))
-            return list(map(known.__getitem__, chunks))
+            return list(map(known.__getitem__, chunks)) if make_all is None else known.many(chunks, make_all)
 
         flat, sizes = coded(pc.split_pattern(usual, " "), look_up, lambda firsts: list(map(self.make, firsts)))
         return spliced(flat, sizes, apart, extra)
@@ -100,5 +98,5 @@ def _coder(path: str) -> ChunkTable:
 def encode_all(path: str, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, ids per text): chunks not seen before go to the library in one batch."""
     return kept("chunk ids", path, lambda: _coder(path)).all_codes(column, lambda new: [
-        np.array(ids, np.int32).tobytes() for at in range(0, len(new), 50_000)
+        array("i", ids).tobytes() for at in range(0, len(new), 50_000)
         for ids in piece_ids(path, [" " + c for c in new[at : at + 50_000]])])

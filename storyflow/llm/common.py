@@ -134,17 +134,15 @@ class Memo(dict):
     """``memo[key]``: the value of ``make(key)``, remembered for the last ``size`` keys at least, twice that at most.
 
     Two generations: when the young one is full it becomes the old one, and keys still in use move over.
-    Long keys are worked out each time, so the memory is bounded. ``fresh`` may hold values made beforehand.
+    Long keys are worked out each time, so the memory is bounded. ``many`` may go beyond the size by the keys of one call.
     """
 
     def __init__(self, make, size: int = 200_000, longest: int = 100):
         super().__init__()
-        self.make, self.size, self.longest, self.old, self.fresh = make, size, longest, {}, {}
+        self.make, self.size, self.longest, self.old = make, size, longest, {}
 
     def __missing__(self, key):
         got = self.old.get(key)
-        if got is None:
-            got = self.fresh.get(key)
         if got is None:
             got = self.make(key)
         if len(key) <= self.longest:
@@ -153,3 +151,19 @@ class Memo(dict):
                 self.clear()
             self[key] = got
         return got
+
+    def many(self, keys: list, make_all) -> list:
+        """The values of distinct ``keys``; those not remembered are made in one call of ``make_all(new keys)``."""
+        out = list(map(self.get, keys))
+        late = [k for k, value in enumerate(out) if value is None]
+        if late:
+            old = [self.old.get(keys[k]) for k in late]
+            made = iter(make_all([keys[k] for k, value in zip(late, old) if value is None]))
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            for k, value in zip(late, old):
+                out[k] = next(made) if value is None else value
+                if len(keys[k]) <= self.longest:
+                    self[keys[k]] = out[k]
+        return out

@@ -30,6 +30,7 @@ from .common import slices
 HEAD = "<4sHHQQQQ"
 SAMPLE = 256
 SEGMENT_BYTES = 4 << 20  # of text that goes in one segment; a longer text has a segment of its own
+ENCODE_BYTES = 8 << 20  # of text that is encoded at once, so that a chunk is looked up once for several segments
 SMALL = 100_000  # parts whose running count is sent to all executors: 2 MB
 SEGMENT = T.StructType([
     T.StructField("part", T.IntegerType()), T.StructField("seq", T.IntegerType()), T.StructField("offset", T.LongType()), T.StructField("n_ids", T.LongType()),
@@ -113,16 +114,20 @@ def write_tokens(docs: DataFrame, folder: str, path: str, text: str = "text", do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = 2 if max(library(path).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        part, before = TaskContext.get().partitionId(), 0
-        for seq, batch in enumerate(slices(batches, "text", SEGMENT_BYTES)):
+        part, seq, before = TaskContext.get().partitionId(), 0, 0
+        for batch in slices(batches, "text", ENCODE_BYTES):
             flat, sizes = encode_all(path, batch.column("text"))
             ids = np.insert(flat, np.cumsum(sizes), end_id)
-            ends = np.cumsum(sizes + 1)
-            at = pa.array([0, batch.num_rows], pa.int32())
-            yield pa.RecordBatch.from_arrays([
-                pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before]), pa.array([len(ids)]),
-                pa.ListArray.from_arrays(at, pa.concat_arrays([batch.column("id")])), pa.array([pack(ids, ends, width)], pa.binary())], names=SEGMENT.names)
-            before += len(ids)
+            ends = np.concatenate([[0], np.cumsum(sizes + 1)])
+            a = 0
+            for piece in slices([batch], "text", SEGMENT_BYTES):
+                z = a + piece.num_rows
+                own = ids[ends[a] : ends[z]]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before]), pa.array([len(own)]),
+                    pa.ListArray.from_arrays(pa.array([0, z - a], pa.int32()), pa.concat_arrays([piece.column("id")])),
+                    pa.array([pack(own, ends[a + 1 : z + 1] - ends[a], width)], pa.binary())], names=SEGMENT.names)
+                seq, before, a = seq + 1, before + len(own), z
 
     ordered.mapInArrow(run, SEGMENT).write.parquet(folder)
 
