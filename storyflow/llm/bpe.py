@@ -119,8 +119,8 @@ class WordEncoder:
 
     def __init__(self, ranks: Ranks):
         self.ranks = ranks
-        self.words = Memo(lambda w: array("i", ranks.parts(w)).tobytes(), 250_000)
-        self.chunks = Memo(self.stretch, 120_000)
+        self.words = Memo(lambda w: array("i", ranks.parts(w)).tobytes(), 60_000)
+        self.chunks = Memo(self.stretch, 60_000)
         names = sorted(ranks.special, key=len, reverse=True)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
 
