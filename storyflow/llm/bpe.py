@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import Memo, coded, int_lists, kept, slices, spliced, strings
+from .common import Memo, coded, forget, int_lists, kept, slices, spliced, strings, trimmed
 
 SHORT = 100  # parts; longer words go through the heap
 NEVER = 1 << 60
@@ -165,10 +165,13 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
     out = T.StructType([*rows.drop("__text").schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget("word encoder", "token names")
         enc = encoder(path)
         for batch in slices(batches, "__text"):
             lists = int_lists(*enc.encode_all(batch.column("__text")))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), lists], names=[*keep, ids])
+            del lists
+            trimmed()
 
     return rows.mapInArrow(run, out)
 

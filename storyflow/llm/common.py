@@ -22,6 +22,14 @@ def kept(name: str, key: str, make: Callable):
     return held[name, key]
 
 
+def forget(*but: str) -> None:
+    """Let go of what this worker holds under other names: workers outlive a stage, and the next one needs the room."""
+    held = sys.__dict__.get("_storyflow_kept", {})
+    for name, key in [k for k in held if k[0] not in but]:
+        del held[name, key]
+    trimmed()
+
+
 def trimmed() -> None:
     """Give memory that is free in this worker back, so that it is there for the executor's other workers and later stages."""
     pa.default_memory_pool().release_unused()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..runtime import cut
-from .common import bytes_of, mixed, slices
+from .common import bytes_of, forget, mixed, slices, trimmed
 
 UNKNOWN = "und"
 ORDERS = (2, 3, 4)  # lengths of the byte n-grams
@@ -183,6 +183,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.array([*model.languages, UNKNOWN], object)
+        forget()
         for batch in slices(batches, "__text", _SLICE):
             n = batch.num_rows
             place, p = np.full(n, -1), np.zeros(n)
@@ -192,6 +193,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
                 place[bare], p[bare] = -1, 0.0
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in names), pa.array(known[place], pa.string()), pa.array(p)], names=out.names)
+        trimmed()
 
     done = rows.mapInArrow(run, out)
     return done.select(*(F.col(c).alias(k) for c, k in zip(names, keep)), F.col("__lang").alias(lang), F.col("__score").alias(score))
