@@ -4,21 +4,23 @@
 2. A node has ``SAMPLES`` MinHash values. ``BANDS`` (more at a lower limit) groups of ``ROWS`` of them are its buckets; all of them, as pairs (place,
    value), are folded into an odd sketch, a bitmap with the parity of the samples in each bit. The count of bits in
    which two sketches differ gives the similarity, most precisely where it is high.
-3. In a bucket, pairs of different components whose sketches are similar enough are candidates. A bucket does not give them
-   all: each component offers its ``OFFERS`` likeliest, at first each node by itself.
-4. Candidates are confirmed on full sets, confirmed links join components, and in the next round, as in Boruvka's method, the
-   components that are left offer more pairs, until every candidate between two of them has been refuted. So no link
-   between components is lost to the choice, and no group is ever given as all its pairs.
+3. The nodes of a bucket whose sketches are similar enough are tied: a bucket gives a star for those tied to each other, never its pairs.
+   Nodes tied to each other, over all buckets, are a cluster.
+4. The full sets of a cluster meet once. Likely pairs of different components are confirmed there, likeliest first, and what comes
+   out is a star for each component of confirmed links, so the rows that are written grow with the nodes and not with their pairs.
+5. Buckets and clusters of more than a block are cut in blocks by hash. First each block is compared with itself, a cluster in
+   ``SALTS`` ways of cutting, which joins large groups of copies. What then lies in different components of one bucket or
+   cluster is compared block by block, but for blocks of one component with each other. So no link is lost to the cutting.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..operators.components import components
 from ..runtime import cut
@@ -30,8 +32,8 @@ BANDS, ROWS, SAMPLES = 24, 5, 512  # a pair at ``SIMILAR`` shares no bucket with
 MISSED = 1e-6
 BITS = 1024  # of an odd sketch
 MARGIN = 0.08  # over four standard deviations of the sketch's estimate at ``SIMILAR``
-BLOCK = 2048  # nodes of a bucket compared at once; larger buckets are compared block by block
-OFFERS, MORE = 2, 16  # pairs a component offers in the first round, and the factor from round to round
+BLOCK, WEIGHT = 1024, 1 << 20  # nodes compared at once, and shingles of their sets; larger buckets and clusters are cut in blocks
+SALTS = 3  # ways to cut a large cluster in blocks
 _SLICE = 2 << 20
 
 
@@ -180,113 +182,207 @@ def described(docs: DataFrame, keep: list[str], text: str, n_bands: int = BANDS)
     return rows.mapInArrow(run, out)
 
 
-MEMBER = T.StructType([
-    T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType()), T.StructField("more", T.BooleanType())])
-
-
-def _offers(pairs: np.ndarray, group: np.ndarray, parts: np.ndarray, each: int) -> np.ndarray:
-    """Which of the ``pairs`` (likeliest first) are among the first ``each`` of one of their two parts, in their group."""
-    chosen = np.zeros(len(pairs), bool)
-    both = np.concatenate([parts[pairs[:, 0]], parts[pairs[:, 1]]])
-    owner = np.concatenate([group, group]) * (parts.max(initial=0) + 1) + both
-    place = np.concatenate([np.arange(len(pairs))] * 2)
-    order = np.lexsort((place, owner))
-    first = np.flatnonzero(np.diff(owner[order], prepend=-1))
-    rank = np.arange(len(order)) - np.repeat(first, np.diff(first, append=len(order)))
-    chosen[place[order[rank < each]]] = True
-    return chosen
-
-
-def candidates(members: DataFrame, each: int, similar: int = SIMILAR) -> DataFrame:
-    """(a, b, more) from (bucket, i, j, side, key, n, bands, sketch, part) rows: likely pairs of different parts in a block.
-
-    Rows of a block lie together. A pair is given in the first bucket that it shares only. ``more``: the block has
-    further pairs, not given in this round.
+def _join(part: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Give the ends of the pairs (a, b), and all that is in one part with them, one number in ``part``."""
+    while True:
+        x, y = part[a], part[b]
+        out = x != y
+        if not out.any():
+            return
+        a, b, x, y = a[out], b[out], x[out], y[out]
+        root = np.arange(part.max() + 1)
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+        part[:] = root[part]
+
+
+def _block_pairs(side: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one block, some at a time: all of a block with itself, else one side with the other.
+
+    Blocks lie from one of ``ends`` to the next.
     """
-    low = similar / 100 - margin_for(similar)
-
-    def block_pairs(side: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of rows of one block, some at a time: all of a block with itself, else one side with the other."""
-        stop = np.repeat(ends[1:], np.diff(ends))
-        count = stop - np.arange(len(stop)) - 1
-        done = 0
-        total = np.cumsum(count)
-        while done < len(count):
-            to = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + 400_000)))
-            a = np.repeat(np.arange(done, to), count[done:to])
-            b = np.arange(len(a)) - np.repeat(total[done:to] - count[done:to] - (total[done - 1] if done else 0), count[done:to]) + a + 1
-            good = (side[a] == 2) | (side[a] != side[b])
-            yield a[good], b[good]
-            done = to
-
-    def blocks(rows: pa.Table) -> pa.RecordBatch:
-        names = [rows.column(c).to_numpy() for c in ("bucket", "i", "j")]
+    rows = np.arange(ends[0], ends[-1])
+    count = np.repeat(ends[1:], np.diff(ends)) - rows - 1
+    total = np.cumsum(count)
+    done = 0
+    while done < len(rows):
+        before = total[done - 1] if done else 0
+        to = max(done + 1, int(np.searchsorted(total, before + 400_000)))
+        a = np.repeat(rows[done:to], count[done:to])
+        b = np.arange(len(a)) - np.repeat(total[done:to] - count[done:to] - before, count[done:to]) + a + 1
+        good = (side[a] == 2) | (side[a] != side[b])
+        yield a[good], b[good]
+        done = to
+
+
+class _Rows:
+    """Rows (group, i, j, side, key, n, sketch, part) of whole blocks as arrays."""
+
+    def __init__(self, rows: pa.Table, similar: int):
         new = np.zeros(rows.num_rows, bool)
         new[0] = True
-        for x in names:
+        for c in PLACE:
+            x = rows.column(c).to_numpy()
             new[1:] |= x[1:] != x[:-1]
-        ends = np.append(np.flatnonzero(new), rows.num_rows)
-        group = np.cumsum(new) - 1
-        keys = rows.column("key").to_pylist()
-        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(keys), -1)
-        n, side, bucket = (rows.column(c).to_numpy() for c in ("n", "side", "bucket"))
-        bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(keys), -1)
-        part = np.unique(np.array(rows.column("part").to_pylist(), dtype=object), return_inverse=True)[1]
-        found, likely = [], []
-        for a, b in block_pairs(side, ends):
-            good = (part[a] != part[b]) & (100 * np.minimum(n[a], n[b]) >= similar * np.maximum(n[a], n[b]))
+        self.ends = np.append(np.flatnonzero(new), rows.num_rows)
+        self.keys = rows.column("key").to_pylist()
+        self.sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(self.keys), -1)
+        self.n, self.side = (rows.column(c).to_numpy() for c in ("n", "side"))
+        self.names, self.part = np.unique(np.array(rows.column("part").to_pylist(), dtype=object), return_inverse=True)
+        self.similar, self.low = similar, similar / 100 - margin_for(similar)
+
+    def likely(self, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of different parts in a block that sizes and sketches allow, some at a time, and their estimates, best first."""
+        for a, b in _block_pairs(self.side, ends):
+            good = (self.part[a] != self.part[b]) & (
+                100 * np.minimum(self.n[a], self.n[b]) >= self.similar * np.maximum(self.n[a], self.n[b]))
             a, b = a[good], b[good]
-            value = estimate(np.bitwise_count(sketch[a] ^ sketch[b]).sum(1, dtype=np.int64))
-            good = value >= low
-            a, b, value = a[good], b[good], value[good]
-            shared = (bands[a] == bands[b]).argmax(1)
-            good = bands[a, shared] == bucket[a]
-            found.append(np.stack([a[good], b[good]], 1))
-            likely.append(value[good])
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        pairs = pairs[np.argsort(-np.concatenate(likely), kind="stable")] if len(pairs) else pairs
-        chosen = _offers(pairs, group[pairs[:, 0]], part, each)
-        ordered = [sorted((keys[a], keys[b])) for a, b in pairs[chosen].tolist()]
-        return pa.RecordBatch.from_arrays([
-            pa.array([x[0] for x in ordered], pa.binary()), pa.array([x[1] for x in ordered], pa.binary()),
-            pa.array(np.full(len(ordered), not chosen.all()))], names=MEMBER.names)
+            value = estimate(np.bitwise_count(self.sketch[a] ^ self.sketch[b]).sum(1, dtype=np.int64))
+            order = np.flatnonzero(value >= self.low)
+            order = order[np.argsort(-value[order], kind="stable")]
+            yield a[order], b[order], value[order]
+
+    def links(self, stars: list[np.ndarray]) -> pa.RecordBatch:
+        ends = [x for pairs in stars for x in pairs.T] or [np.zeros(0, np.int64)] * 2
+        return pa.RecordBatch.from_arrays([pa.array(self.names[np.concatenate(ends[k::2])], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+
+def _stars(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Pairs of each part ``before`` with the least that lies in one part with it ``after``."""
+    least = np.full(after.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, after, before)
+    each, first = np.unique(before, return_index=True)
+    head = least[after[first]]
+    return np.stack([head, each], 1)[head != each]
+
+
+PLACE = ("group", "i", "j")
+LINKS = "a binary, b binary"
+
+
+def _by_blocks(rows: DataFrame, find: Callable[[pa.Table], pa.RecordBatch]) -> DataFrame:
+    """``find`` applied to whole blocks of (group, i, j, ..) rows, which gives links."""
+    dealt = rows.repartition(*PLACE).sortWithinPartitions(*PLACE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = pa.Table.from_batches([*held, batch])
-            last = [rows.column(c)[-1].as_py() for c in ("bucket", "i", "j")]
-            same = np.ones(rows.num_rows, bool)
-            for c, v in zip(("bucket", "i", "j"), last):
-                same &= rows.column(c).to_numpy() == v
+            table = pa.Table.from_batches([*held, batch])
+            same = np.ones(table.num_rows, bool)
+            for c in PLACE:
+                x = table.column(c).to_numpy()
+                same &= x == x[-1:]
             whole = int(np.argmax(same))  # the last block may go on in the next batch
             if whole:
-                yield blocks(rows.slice(0, whole))
-            held = rows.slice(whole).to_batches()
+                yield find(table.slice(0, whole))
+            held = table.slice(whole).to_batches()
         if held:
-            yield blocks(pa.Table.from_batches(held))
-
-    return members.mapInArrow(run, MEMBER)
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """The (a, b) whose full sets are similar enough."""
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("sa")), "a").join(
-        sets.select(F.col("key").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = np.zeros(batch.num_rows, bool)
-            for k, (x, y) in enumerate(zip(batch.column("sa"), batch.column("sb"))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                place = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                shared = int((x[place] == y).sum())
-                good[k] = 100 * shared >= similar * (len(x) + len(y) - shared)
-            yield batch.select(["a", "b"]).filter(pa.array(good))
-
-    return both.mapInArrow(run, "a binary, b binary")
+            yield find(pa.Table.from_batches(held))
+
+    return dealt.mapInArrow(run, LINKS)
+
+
+def ties(members: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """(a, b) from (group, i, j, side, key, n, sketch, part) rows: parts that likely pairs in a block tie to the part a."""
+
+    def find(table: pa.Table) -> pa.RecordBatch:
+        rows = _Rows(table, similar)
+        before = rows.part.copy()
+        for a, b, _ in rows.likely(rows.ends):
+            _join(rows.part, a, b)
+        return rows.links([_stars(before, rows.part)])
+
+    return _by_blocks(members, find)
+
+
+def shared(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many members two different sets ``a[k]`` and ``b[k]`` have in common: bitmaps over the members that two sets hold, a strip at a time."""
+    used, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = ends[: len(a)], ends[len(a) :]
+    member = np.concatenate([sets[r] for r in used])
+    owner = np.repeat(np.arange(len(used)), [len(sets[r]) for r in used])
+    order = np.argsort(member, kind="stable")
+    member, owner = member[order], owner[order]
+    new = np.append(True, member[1:] != member[:-1]) if len(member) else np.zeros(0, bool)
+    column = np.cumsum(new) - 1
+    several = (np.bincount(column) > 1)[column]
+    owner, column = owner[several], np.cumsum(new[several]) - 1
+    strip, out = 1 << 13, np.zeros(len(a), np.int64)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, strip):
+        lo, hi = np.searchsorted(column, [start, start + strip])
+        width = min(strip, -(-(int(column[hi - 1]) + 1 - start) // 64) * 64)
+        grid = np.zeros((len(used), width), bool)
+        grid[owner[lo:hi], column[lo:hi] - start] = True
+        bits = np.packbits(grid, axis=1).view(np.uint64)
+        for k in range(0, len(a), 1 << 14):
+            out[k : k + (1 << 14)] += np.bitwise_count(bits[a[k : k + (1 << 14)]] & bits[b[k : k + (1 << 14)]]).sum(1, dtype=np.int64)
+    return out
+
+
+def confirmed(members: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """(a, b) from rows as in ``ties`` with their ``set``: parts that links in a block, confirmed on full sets, join to the part a."""
+
+    def find(table: pa.Table) -> pa.RecordBatch:
+        rows, found = _Rows(table, similar), []
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for c in table.column("set").chunks for x in c]
+        for begin, end in zip(rows.ends[:-1].tolist(), rows.ends[1:].tolist()):
+            a, b, value = (np.concatenate(x) for x in zip(*rows.likely(np.array([begin, end]))))
+            order = np.argsort(-value, kind="stable")
+            a, b, step = a[order], b[order], 4 * (end - begin)
+            part = rows.part[begin:end].copy()
+            while len(a):
+                x, y = a[:step], b[:step]
+                both = shared(sets, x, y)
+                good = 100 * both >= similar * (rows.n[x] + rows.n[y] - both)
+                _join(part, x[good] - begin, y[good] - begin)
+                a, b = a[step:], b[step:]
+                left = part[a - begin] != part[b - begin]
+                a, b, step = a[left], b[left], 4 * step
+            found.append(_stars(rows.part[begin:end], part))
+        return rows.links(found)
+
+    return _by_blocks(members, find)
+
+
+def _blocks(nodes, shingles=None):
+    """How many blocks so many nodes, with so many shingles in all, are cut in."""
+    by_count = F.ceil(nodes / BLOCK)
+    return by_count if shingles is None else F.greatest(by_count, F.ceil(shingles / WEIGHT))
+
+
+def _against_all(rows: DataFrame, weighed: bool) -> DataFrame:
+    """(group, key, part, n) rows with (i, j, side), once for each block they are compared with.
+
+    A part that fills several blocks has blocks of its own, which are not compared with each other; smaller parts share blocks.
+    """
+    size = lambda m, w: _blocks(F.col(m), F.col(w) if weighed else None)
+    parts = cut(rows.groupBy("group", "part").agg(F.count("*").alias("m"), F.sum("n").alias("w")).withColumn("own", size("m", "w")))
+    own, rest = F.when(F.col("own") > 1, F.col("own")), F.col("own") == 1
+    all_ = parts.groupBy("group").agg(
+        F.coalesce(F.sum(own), F.lit(0)).alias("owned"), F.sum(F.when(rest, F.col("m"))).alias("m"), F.sum(F.when(rest, F.col("w"))).alias("w"),
+        F.count("*").alias("parts")).where("parts > 1").withColumn("mixed", F.coalesce(size("m", "w"), F.lit(0)))
+    all_ = cut(all_.select("group", "mixed", (F.col("mixed") + F.col("owned")).alias("blocks")))
+    before = F.coalesce(F.sum("own").over(Window.partitionBy("group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    large = cut(parts.where("own > 1").select("group", "part", "own", before.alias("before")))
+    at = rows.join(all_, "group").join(large, ["group", "part"], "left")
+    low, hashed = F.col("mixed") + F.col("before"), F.xxhash64("key")
+    at = at.withColumn("low", low).withColumn("mine", F.when(F.col("own").isNull(), F.pmod(hashed, "mixed")).otherwise(F.col("low") + F.pmod(hashed, "own")))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
+                      lambda k: F.col("own").isNull() | (k < F.col("low")) | (k >= F.col("low") + F.col("own")))
+    at = at.withColumn("k", F.explode(others))
+    return at.select("group", "key", "part", "n", F.least("k", "mine").alias("i"), F.greatest("k", "mine").alias("j"),
+                     F.when(F.col("k") == F.col("mine"), 2).when(F.col("mine") < F.col("k"), 0).otherwise(1).alias("side"))
+
+
+def _with_itself(rows: DataFrame, salts: int) -> DataFrame:
+    """(group, key, part, n, blocks) rows with (i, j, side): each block with itself, cut in ``salts`` ways if there are several."""
+    ways = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array(*map(F.lit, range(salts))))
+    at = rows.withColumn("salt", F.explode(ways)).withColumn(
+        "i", F.col("salt") * F.col("blocks") + F.pmod(F.xxhash64("key", "group", "salt"), "blocks"))
+    return at.select("group", "key", "part", "n", "i", F.col("i").alias("j"), F.lit(2).alias("side"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar: int = SIMILAR) -> DataFrame:
@@ -303,75 +399,50 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     nodes = cut(table.where("n > 0").groupBy("key").agg(
         F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "tie")).alias("source"), F.first("n").alias("n"),
         F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-    in_bucket = nodes.select("key", F.explode("bands").alias("bucket"))
+    in_bucket = nodes.select("key", F.explode("bands").alias("group"))
     short = F.xxhash64("key")
-    full = in_bucket.groupBy("bucket").agg(F.min(short).alias("x"), F.max(short).alias("y"), F.count("*").alias("m")).where("x <> y")
-    full = cut(full.select("bucket", F.ceil(F.col("m") / BLOCK).alias("blocks")))
-    members = cut(in_bucket.join(full, "bucket").join(nodes.select("key", "n", "bands", "sketch"), "key"))
-    part = None
-    tried, sets, each = None, None, OFFERS
-    while True:
-        placed = members.withColumn("part", F.col("key")) if part is None else members.join(part, "key", "left").withColumn(
-            "part", F.coalesce("component", "key")).drop("component")
-        if part is not None:  # buckets within one component have nothing left to ask
-            placed = cut(placed)
-            open_ = placed.groupBy("bucket").agg(F.min(F.xxhash64("part")).alias("x"), F.max(F.xxhash64("part")).alias("y")).where("x <> y")
-            placed = placed.join(cut(open_.select("bucket")), "bucket", "left_semi")
-        mine = F.pmod(F.xxhash64("key"), F.col("blocks"))
-        pairs_of = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))).otherwise(
-            F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(
-                F.least(k, mine).alias("i"), F.greatest(k, mine).alias("j"))))
-        spread = placed.withColumn("p", F.explode(pairs_of)).select(
-            "bucket", "p.i", "p.j", F.when(F.col("p.i") == F.col("p.j"), 2).when(mine == F.col("p.i"), 0).otherwise(1).alias("side"),
-            "key", "n", "bands", "sketch", "part")
-        dealt = spread.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-        found = cut(candidates(dealt, each, similar).groupBy("a", "b").agg(F.max("more").alias("more")))
-        unfinished = not found.where("more").isEmpty()
-        fresh = found.select("a", "b") if tried is None else cut(found.select("a", "b").join(tried, ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
-            if not unfinished:
-                break
-            each *= MORE
-            continue
-        if sets is None:
-            sets = cut(_sets(rows, nodes, fresh))
-        good = cut(_confirmed(fresh, sets, similar))
-        tried = fresh if tried is None else tried.unionByName(fresh)
-        part = _joined(good, part)
-        each *= MORE
-    if part is None:
-        names = nodes.select("key", F.col("key").alias("component"), F.col("least").alias("component_id"))
-    else:
-        joined = cut(nodes.select("key", "least").join(part, "key", "left").withColumn("component", F.coalesce("component", "key")))
-        least = cut(joined.groupBy("component").agg(F.min("least").alias("component_id")))
-        names = joined.join(least, "component").select("key", "component", "component_id")
+    crowded = in_bucket.groupBy("group").agg(F.min(short).alias("x"), F.max(short).alias("y"), F.count("*").alias("m")).where("x <> y")
+    members = cut(in_bucket.join(cut(crowded.select("group", _blocks(F.col("m")).alias("blocks"))), "group"))
+    about = nodes.select("key", "n", "sketch")
+    alone = nodes.select("key", "n").withColumn("part", F.col("key"))
+
+    tied = cut(ties(_with_itself(members.join(alone, "key"), 1).join(about.drop("n"), "key"), similar).distinct())
+    cluster = cut(_named(tied, "group"))
+    sized = cut(cluster.join(nodes.select("key", "n"), "key").groupBy("group").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks")))
+    placed = _with_itself(cluster.join(sized, "group").join(alone, "key"), SALTS)
+    links = cut(confirmed(_with_sets(placed, rows, nodes), similar))
+    part = cut(_named(links, "part"))
+
+    wide, large = members.where("blocks > 1"), sized.where("blocks > 1")
+    if not (wide.isEmpty() and large.isEmpty()):
+        now = cut(nodes.select("key", "n").join(part, "key", "left").withColumn("part", F.coalesce("part", "key")))
+        more = ties(_against_all(wide.select("group", "key").join(now, "key"), False).join(about.drop("n"), "key"), similar)
+        again = cluster.join(large, "group", "left_semi").join(now, "key").select(F.col("group").alias("a"), F.col("part").alias("b"))
+        open_ = cut(more.unionByName(again).where("a <> b").distinct())  # the least key of a cluster names its part, too
+        if not open_.isEmpty():
+            cluster = cut(_named(open_, "group")).withColumnRenamed("key", "part")
+            placed = _against_all(now.join(cluster, "part"), True)
+            links = cut(confirmed(_with_sets(placed, rows, nodes), similar))
+            if not links.isEmpty():
+                renamed = cut(_named(links, "to")).withColumnRenamed("key", "part")
+                part = cut(now.join(renamed, "part", "left").select("key", F.coalesce("to", "part").alias("part")))
+    joined = cut(nodes.select("key", "least").join(part, "key", "left").select("key", "least", F.coalesce("part", "key").alias("component")))
+    least = cut(joined.groupBy("component").agg(F.min("least").alias("component_id")))
+    names = joined.join(least, "component").select("key", "component", "component_id")
     done = table.select("doc_id", "tie", "key", F.col("n").alias("n_shingles")).join(cut(names), "key", "left")
     named = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return done.select("doc_id", "tie", "n_shingles", "component", named.alias("component_id"), F.coalesce(named == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
-def _joined(links: DataFrame, part: DataFrame | None) -> DataFrame:
-    """(key, component) after ``links``: components of components, so that later rounds work on what is new."""
-    if part is None:
-        found = components(links.select(F.col("a").alias("i"), F.col("b").alias("j")))
-        return cut(found.select(F.col("node").alias("key"), "component"))
-    for end in ("a", "b"):
-        named = part.select(F.col("key").alias(end), F.col("component").alias(f"of_{end}"))
-        links = links.join(named, end, "left").withColumn(end, F.coalesce(f"of_{end}", end)).drop(f"of_{end}")
-    merged = cut(components(links.select(F.col("a").alias("i"), F.col("b").alias("j"))).select(
-        F.col("node").alias("component"), F.col("component").alias("now")))
-    known = part.join(merged, "component", "left").select("key", F.coalesce("now", "component").alias("component"))
-    new = merged.select(F.col("component").alias("key"), F.col("now").alias("component")).join(part.select("key"), "key", "left_anti")
-    return cut(known.unionByName(new))
-
+def _named(links: DataFrame, name: str) -> DataFrame:
+    """(key, ``name``) of the keys in (a, b) links: their connected component."""
+    return components(links.select(F.col("a").alias("i"), F.col("b").alias("j"))).select(F.col("node").alias("key"), F.col("component").alias(name))
 
-def _sets(rows: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(key, set) of the nodes in ``pairs``, made anew from the text of one of their documents.
 
-    In the first round every node that has a candidate at all offers one, so later rounds need no other sets.
-    """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    sources = nodes.join(wanted, "key", "left_semi").select(
+def _with_sets(placed: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``placed`` rows with the sketch and set of their key; the sets are made anew from the text of one of its documents."""
+    placed = cut(placed)
+    sources = nodes.join(placed.select("key").distinct(), "key", "left_semi").select(
         F.coalesce("source.doc_id", F.lit(-1)).alias("id"), F.col("source.doc_id").isNull().alias("none"), F.col("source.tie").alias("tie"))
     named = rows.withColumn("id", F.coalesce("doc_id", F.lit(-1))).withColumn("none", F.col("doc_id").isNull())
     some = named.join(cut(sources), ["id", "none", "tie"], "left_semi").select("text")
@@ -382,4 +453,5 @@ def _sets(rows: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 pa.array(_keys(sets), pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["key", "set"])
 
-    return some.mapInArrow(run, "key binary, set binary").dropDuplicates(["key"])
+    sets = some.mapInArrow(run, "key binary, set binary").dropDuplicates(["key"])
+    return placed.join(sets, "key").join(nodes.select("key", "sketch"), "key")

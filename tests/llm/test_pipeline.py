@@ -84,8 +84,8 @@ def test_run_writes_and_rereads_each_stage(spark, documents, corpus):
 
 def test_all_are_registered():
     names = entry.queries()
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
-    assert {n.split("_")[0] for n in entry.oracle_sql() if n.startswith("op")} == {"op3", "op5", "op7", "op8", "op9"}
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13
+    assert {n.split("_")[0] for n in entry.oracle_sql() if n.startswith("op")} == {"op3", "op5", "op7", "op8", "op9", "op12", "op13"}
     assert [name for name, _ in pipeline.STAGES] == ["language", "line_dedup", "near_dedup", "mixing", "bpe"]
 
 

@@ -187,6 +187,31 @@ def test_groups_equal_brute_force(spark, documents, monkeypatch, block):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in got) == brute_groups(rows)
 
 
+def test_shared_members_equal_brute_force():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, size * 2, size).astype(np.uint64)) for size in (1, 5, 300, 20000, 30000, 30000)]
+    a, b = np.array([(i, j) for i in range(6) for j in range(6) if i != j]).T
+    assert near_dup.shared(sets, a, b).tolist() == [len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b)]
+    assert near_dup.shared([sets[0], sets[0] + np.uint64(9)], np.array([0]), np.array([1])).tolist() == [0]
+
+
+def test_group_just_below_the_limit_writes_no_pairs(spark, documents, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(400)]
+    rows = []
+    for k in range(150):  # four words changed, about 82 % of two such texts in common; every tenth is like the one before
+        w = list(rows[-1][1].split()) if k % 10 == 9 else list(base)
+        for place in rng.sample(range(400), 4):
+            w[place] = f"x{k}y{place}"
+        rows.append((k, " ".join(w)))
+    wrote = []
+    whole = near_dup._by_blocks
+    monkeypatch.setattr(near_dup, "_by_blocks", lambda *args: wrote.append(whole(*args)) or wrote[-1])
+    got = near_dup.near_duplicates(documents(rows).repartition(3)).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in got) == brute_groups(rows)
+    assert wrote and wrote[1].count() < len(rows) and wrote[0].distinct().count() < 24 * len(rows)
+
+
 def test_groups_of_no_rows_and_of_unlike_texts(spark, documents):
     assert near_dup.near_duplicates(documents([(1, "x")]).limit(0)).count() == 0
     got = near_dup.near_duplicates(documents([(1, "one two three four five six"), (2, "six five four three two one")])).collect()
