@@ -14,6 +14,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
@@ -24,7 +25,7 @@ CLASS_BITS = 6  # lowest bits of a name, its class; the 16 above them are the va
 FIRST = 2  # lower levels have phrases of a few letters, which all texts of a language share
 EMPTY = 0xFFFF
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)  # no name yet
-CELLS = 1 << 16  # of the id range, for dealing documents in id order
+CELLS = 1 << 16  # buckets of the ids, and of the rows without id, at most, for dealing documents in id order
 BUCKET_ROWS = 4096
 _SLICE = 1 << 20
 
@@ -145,35 +146,55 @@ def fingerprint(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
     return done.select(*(F.col(c).alias(k) for c, k in zip(names, keep)), F.col("__print").alias(out))
 
 
+def marks(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """(ids at which buckets of about ``BUCKET_ROWS`` rows begin, not descending; buckets of the rows without id).
+
+    Quantiles of the ids, ``CELLS`` at most, so an id far from the others does not matter; an id that fills several
+    buckets is there several times.
+    """
+    n, named = rows.agg(F.count("*"), F.count("doc_id")).first()
+    k = min(CELLS, named // BUCKET_ROWS)
+    found = []
+    if k:
+        shares = ", ".join(f"{j / (k + 1)!r}D" for j in range(1, k + 1))
+        found = rows.agg(F.expr(f"percentile_approx(doc_id, array({shares}), {max(10_000, 8 * k)})")).first()[0]
+    return np.array(found, np.int64), min(CELLS, (n - named) // BUCKET_ROWS) + 1
+
+
+def bucket_of(none: np.ndarray, ids: np.ndarray, tie: np.ndarray, begins: np.ndarray, nameless: int) -> np.ndarray:
+    """Number of the bucket of each row, ascending in (none, id, tie); rows of one id that fills several go by ``tie``."""
+    share = (tie >> 32) + (1 << 31)  # a digest, so equal parts of its range hold about equal numbers of rows
+    first, last = np.searchsorted(begins, ids, "left"), np.searchsorted(begins, ids, "right")
+    inside = np.where(last > first, ((share * (last - first)) >> 32) + 1, 0)
+    return np.where(none, len(begins) + 1 + ((share * nameless) >> 32), first + inside)
+
+
 def in_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(bucket, tail, doc_id, text), so that within a bucket each row but the tail is followed by the next document.
 
-    Documents go by id, null last, then text. The id range is cut in ``CELLS`` cells, and neighbouring cells are put
-    together to buckets of about ``BUCKET_ROWS`` rows; each bucket also gets the next one's first document as its tail, the last
-    one the very first. The two tables broadcast have ``CELLS`` rows at most.
+    Documents go by id, null last, then by a digest of the text. They are dealt to buckets by quantiles of the ids and, where one id
+    or null fills several buckets, by the digest; each bucket also gets the next one's first document as its tail, the last
+    one the very first. Equal texts of one id share a bucket. The table broadcast has ``2 * CELLS + 2`` rows at most.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    width = (high - low) // CELLS + 1
-    cell = F.coalesce(F.expr(f"(doc_id - {low}L) div {width}L"), F.lit(CELLS))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"))).alias("first")
-    cells = rows.select("doc_id").groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), first)
-    before = F.coalesce(F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = cells.withColumn("bucket", F.floor(before / BUCKET_ROWS))
-    buckets = cells.groupBy("bucket").agg(F.min("first").alias("first"))
+    begins, nameless = marks(rows.select("doc_id"))
+
+    @F.pandas_udf("long")
+    def bucket(none: pd.Series, ids: pd.Series, tie: pd.Series) -> pd.Series:
+        return pd.Series(bucket_of(none.to_numpy(bool), ids.to_numpy(np.int64), tie.to_numpy(np.int64), begins, nameless))
+
+    keyed = rows.withColumns({"none": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.lit(0)), "tie": F.xxhash64("text")})
+    placed = keyed.withColumn("bucket", bucket("none", "id", "tie"))
+    buckets = placed.groupBy("bucket").agg(F.min(F.struct("none", "id", "tie")).alias("first"))
     ordered = Window.orderBy("bucket")
     previous = F.coalesce(F.lag("bucket").over(ordered), F.max("bucket").over(Window.partitionBy(F.lit(0))))
-    tails = buckets.select("first", previous.alias("tail_of"))
-    own = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"))
-    placed = (rows.withColumn("cell", cell).join(F.broadcast(cells.select("cell", "bucket")), "cell").withColumn("first", own)
-              .join(F.broadcast(tails), "first", "left"))
+    tails = buckets.select("first.*", previous.alias("tail_of"))
     copies = F.array_compact(F.array(
         F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("tail")),
         F.when(F.col("tail_of").isNotNull(), F.struct(F.col("tail_of").alias("bucket"), F.lit(True).alias("tail")))))
-    spread = placed.select("doc_id", "text", F.explode(copies).alias("c")).select("c.bucket", "c.tail", "doc_id", "text")
-    return spread.repartition("bucket").sortWithinPartitions(
-        "bucket", "tail", F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first())
+    spread = placed.join(F.broadcast(tails), ["none", "id", "tie"], "left").select(
+        "doc_id", "text", "tie", F.explode(copies).alias("c")).select("c.bucket", "c.tail", "doc_id", "tie", "text")
+    return spread.repartition("bucket").sortWithinPartitions("bucket", "tail", F.col("doc_id").asc_nulls_last(), "tie").drop("tie")
 
 
 EDITED = T.StructType([
@@ -185,7 +206,7 @@ EDITED = T.StructType([
 def edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every document, of the document with its second half overwritten by the next one's beginning, and likenesses.
 
-    Rows with null ids are the last documents; rows with one id go by their text; null texts are empty; the only
+    Rows with null ids are the last documents; rows with one id go by a digest of their text; null texts are empty; the only
     document of a table is its own next; an empty table gives no rows.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

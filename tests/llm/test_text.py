@@ -310,3 +310,36 @@ def test_fingerprints_of_one_of_repeated_and_of_no_rows(spark, documents):
     assert fingerprints.edited(documents([(1, "x")]).limit(0)).count() == 0
     plain = fingerprints.fingerprint(documents([(1, None), (2, "")]).withColumnRenamed("lang", "fingerprint")).collect()
     assert plain[0].fingerprint == plain[1].fingerprint == "ffff" * fingerprints.SLOTS
+
+
+def test_far_ids_and_hot_ids_leave_even_buckets(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 100)
+    far = [(2**63 - 1, "high"), (-(2**63), "low")]
+    rows = spark.range(3000).selectExpr("id * 3 AS doc_id", "concat('t', id) AS text").unionByName(
+        spark.range(1500).selectExpr("4000 AS doc_id", "concat('one id ', id) AS text")).unionByName(
+        spark.range(1500).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "concat('no id ', id) AS text")).unionByName(
+        spark.createDataFrame(far, "doc_id long, text string"))
+    got = fingerprints.in_order(rows).collect()
+    own = Counter(r.bucket for r in got if not r.tail)
+    assert sum(own.values()) == 6002 and max(own.values()) < 250 and Counter(r.bucket for r in got if r.tail) == {b: 1 for b in own}
+    ids = {}
+    for r in got:
+        if not r.tail:
+            ids.setdefault(r.bucket, []).append((r.doc_id is None, r.doc_id or 0))
+    runs = [ids[b] for b in sorted(ids)]
+    assert [i for run in runs for i in run] == sorted(i for run in runs for i in run)
+    follow = {b: n for b, n in zip(sorted(own), [*sorted(own)[1:], min(own)])}
+    first = {}
+    for r in got:  # rows of one bucket are in order
+        if not r.tail:
+            first.setdefault(r.bucket, r.text)
+    assert all(first[follow[r.bucket]] == r.text for r in got if r.tail)
+
+
+def test_buckets_ascend_with_the_key():
+    begins = np.array([5, 9, 9, 9, 20])
+    at = lambda none, i, tie: int(fingerprints.bucket_of(np.array([none]), np.array([i]), np.array([tie]), begins, 4)[0])
+    low, high = -(2**63), 2**63 - 1
+    places = [at(False, i, t) for i in (low, 4, 5, 8, 9, 10, 20, high) for t in (low, 0, high)] + [at(True, 0, t) for t in (low, 0, high)]
+    assert places == sorted(places) and len({at(False, 9, t) for t in range(low, high, 2**60)}) == 3
+    assert at(False, high, high) == 5 and at(True, 0, low) == 6 and at(True, 0, high) == 9
