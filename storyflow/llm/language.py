@@ -3,7 +3,8 @@
 A text is the mean of the embeddings of its byte n-grams, hashed to ``BUCKETS`` rows; a linear layer and a softmax
 give the languages. Embeddings and layer are trained together by stochastic gradient descent in numpy, on windows of a
 bounded sample of labelled rows. A temperature, fitted on sampled rows kept back from training, makes the score a
-calibrated probability, so a low score can be rejected.
+calibrated probability. A text is rejected if its score is near chance, or if fewer of its n-grams are known from
+training than rows kept back from training lead one to expect.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ WIDTH = 16  # of an embedding
 SAMPLE_ROWS = 600  # distinct texts a language gives for fitting, at most: the documented bound of the sample
 WINDOWS, WINDOW_CHARS = 4, 240  # of a sampled row: stretches spread over its whole text
 EPOCHS, RATE, SEED = 6, 0.5, 7
-MIN_SCORE = 0.35  # below it, a calibrated prediction is hardly better than a guess; short clean texts score above it
+NEAR_CHANCE = 0.13  # of the way from a guess to certainty: a calibrated score below is rejected; short clean texts score above it
+LEAST = 0.01  # quantile of the shares of known n-grams among windows kept back
 _SLICE = 1 << 20
 
 
@@ -64,25 +66,41 @@ class Model:
     layer: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
+    known: np.ndarray | None = None  # buckets that training has seen
+    known_limit: float = 0.0  # least share of known n-grams that a text of these languages has
 
-    def logits(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(logits, n-grams seen) of each text."""
+    def logits(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(logits, n-grams, those of them that training has seen) of each text."""
         n = len(at) - 1
         small = len(self.languages) <= WIDTH
         table = (self.table @ self.layer if small else self.table).astype(np.float32)
-        total, seen = np.zeros((n, table.shape[1])), np.zeros(n, np.int64)
+        total, seen, met = np.zeros((n, table.shape[1])), np.zeros(n, np.int64), np.zeros(n, np.int64)
         for bucket, owner in _grams(raw, at):
             seen += np.bincount(owner, minlength=n)
+            met += np.bincount(owner if self.known is None else owner[self.known[bucket]], minlength=n)
             where = np.flatnonzero(np.diff(owner, prepend=-1))
             if len(where):
                 total[owner[where]] += np.add.reduceat(table[bucket], where, axis=0, dtype=np.float64)
         mean = total / np.maximum(seen, 1)[:, None]
-        return (mean if small else mean @ self.layer) + self.bias, seen
+        return (mean if small else mean @ self.layer) + self.bias, seen, met
 
     def predict(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in ``languages``, calibrated score); a text without n-grams gets the bias alone."""
-        p = _softmax(self.logits(raw, at)[0] / self.temperature)
-        return p.argmax(1), p.max(1)
+        return self.judge(raw, at)[:2]
+
+    def judge(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``predict`` and whether the text fits one of the languages at all.
+
+        The share of known n-grams is that of a sample of the language's n-grams: only if it lies below the limit by two
+        standard deviations, which are wide for a short text, the text is none of theirs.
+        """
+        z, seen, met = self.logits(raw, at)
+        p = _softmax(z / self.temperature)
+        chance = 1 / max(1, len(self.languages))
+        n = np.maximum(seen, 1)
+        strange = met / n + 1 / np.sqrt(n) < self.known_limit
+        near = p.max(1) < chance + NEAR_CHANCE * (1 - chance)
+        return p.argmax(1), p.max(1), ~(strange | near)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -152,6 +170,12 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
         grid = np.geomspace(0.25, 16, 49)
         loss = [-np.log(_softmax(z / t)[np.arange(len(held)), y[held]] + 1e-12).mean() for t in grid]
         model.temperature = float(grid[int(np.argmin(loss))])
+        model.known = np.zeros(BUCKETS, bool)
+        for i in train:
+            model.known[bags[i][0]] = True
+        # midway between texts of other scripts, whose n-grams meet seen buckets by chance, and what rows kept back have at least
+        own = np.quantile([bags[i][1][model.known[bags[i][0]]].sum() for i in held if len(bags[i][0])] or [0.0], LEAST)
+        model.known_limit = float(max(0.0, own + model.known.mean()) / 2) if own > model.known.mean() else 0.0
     return model
 
 
@@ -169,8 +193,9 @@ def _bags(raw: np.ndarray, at: np.ndarray, some: int = 256) -> list[tuple[np.nda
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
-             lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``keep`` columns, the predicted language of the whole text and its calibrated score.
+             lang: str = "lang_pred", score: str = "score", fits: str | None = None) -> DataFrame:
+    """``keep`` columns, the predicted language of the whole text and its calibrated score; ``fits`` names a column for
+    whether the text is accepted (``Model.judge``; false for ``und``).
 
     Null texts and texts without a letter are ``und`` with score 0, and so is all if no language was learned. Equal
     texts get equal predictions; only the text is read. Other columns are left out, so their names cannot clash.
@@ -179,24 +204,26 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
                        F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
     names = [f"__{n}" for n in range(len(keep))]
     out = T.StructType([*(f for f in rows.schema.fields if f.name in names),
-                        T.StructField("__lang", T.StringType(), False), T.StructField("__score", T.DoubleType(), False)])
+                        T.StructField("__lang", T.StringType(), False), T.StructField("__score", T.DoubleType(), False),
+                        T.StructField("__fits", T.BooleanType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.array([*model.languages, UNKNOWN], object)
         forget()
         for batch in slices(batches, "__text", _SLICE):
             n = batch.num_rows
-            place, p = np.full(n, -1), np.zeros(n)
+            place, p, good = np.full(n, -1), np.zeros(n), np.zeros(n, bool)
             if model.languages:
-                place, p = model.predict(*bytes_of(batch.column("__text")))
+                place, p, good = model.judge(*bytes_of(batch.column("__text")))
                 bare = ~batch.column("__letter").to_numpy(zero_copy_only=False)
-                place[bare], p[bare] = -1, 0.0
+                place[bare], p[bare], good[bare] = -1, 0.0, False
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), pa.array(known[place], pa.string()), pa.array(p)], names=out.names)
+                [*(batch.column(c) for c in names), pa.array(known[place], pa.string()), pa.array(p), pa.array(good)], names=out.names)
         trimmed()
 
     done = rows.mapInArrow(run, out)
-    return done.select(*(F.col(c).alias(k) for c, k in zip(names, keep)), F.col("__lang").alias(lang), F.col("__score").alias(score))
+    return done.select(*(F.col(c).alias(k) for c, k in zip(names, keep)), F.col("__lang").alias(lang), F.col("__score").alias(score),
+                       *([F.col("__fits").alias(fits)] if fits else []))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

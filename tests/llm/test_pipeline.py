@@ -119,3 +119,9 @@ def test_bands_and_margin_follow_the_limit():
     assert near_dup.margin_for(80) > near_dup.MARGIN
     with pytest.raises(ValueError):
         near_dup.bands_for(50)
+
+
+def test_the_language_stage_rejects_other_scripts(spark, documents, corpus):
+    odd = [(400, "これは日本語の文章です。今日は天気がいい" * 4, None, "b"), (401, "Сегодня хорошая погода и мы пошли гулять " * 4, None, "b")]
+    kept = {r.doc_id for r in pipeline.identify_language(spark, documents(corpus + odd), "").collect()}
+    assert kept == {r[0] for r in corpus} - {300, 301, 302}

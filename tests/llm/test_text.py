@@ -34,6 +34,20 @@ def test_language_is_learned_and_unknown_texts_are_und(spark, documents):
     assert again == {i: (got[i].lang_pred, got[i].score) for i in again}
 
 
+def test_texts_of_no_learned_language_are_rejected(spark, documents):
+    rnd = random.Random(2)
+    words = {lang: [w + rnd.choice(["", "s", "en", "a"]) for w in own for _ in range(3)] for lang, own in WORDS.items()}
+    rows = [(k, " ".join(rnd.choices(words[lang], k=30)), lang) for k, lang in enumerate(["xa", "yb"] * 80)]
+    docs = documents(rows)
+    model = language.fit(docs)
+    odd = ["これは日本語の文章です。今日は天気がいい" * 3, "Сегодня хорошая погода и мы пошли гулять " * 3, "Σήμερα ο καιρός είναι καλός " * 3, "qqqq zzzz xxkq wwqz " * 8]
+    clean = ["KOLO MIRA", "schrift 123 nacht, recht!", "kolo mira tano beku sari " * 2000]
+    more = documents([(1000 + k, t) for k, t in enumerate(odd + clean + ["123", "", None])])
+    got = {r.doc_id: r.fits for r in language.identify(docs.unionByName(more), model, fits="fits").collect()}
+    assert all(got[i] for i, _, _ in rows)
+    assert [got[1000 + k] for k in range(10)] == [False] * 4 + [True] * 3 + [False] * 3
+
+
 def test_nothing_to_learn(spark, documents):
     docs = documents([(1, "some text", None), (2, None, "xa")])
     got = language.identify(docs, language.fit(docs)).collect()
