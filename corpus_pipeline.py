@@ -19,15 +19,16 @@ NEAR = 80  # percent of common shingles; op8's own limit is 85
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the classifier can name; ``lang`` becomes that language.
 
-    It learns from the labelled rows of ``docs``. Texts without a letter, null ones too, go, and texts that fit no language
-    better than chance by the calibrated score. If no row is labelled, nothing can be learned and only texts without a letter go.
+    It learns from the labelled rows of ``docs``. Texts without a letter, null ones too, go, and texts that fit no language:
+    with a calibrated score near chance, or too few n-grams known from training (limits from rows kept back, ``Model.judge``).
+    If no row is labelled, nothing can be learned and only texts without a letter go.
     """
     columns = docs.columns
     model = language.fit(docs)
-    found = language.identify(docs, model, keep=tuple(columns), lang="__lang", score="__score")
+    found = language.identify(docs, model, keep=tuple(columns), lang="__lang", score="__score", fits="__fits")
     if not model.languages:
         return found.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).select(columns)
-    return found.where((F.col("__lang") != language.UNKNOWN) & (F.col("__score") >= language.MIN_SCORE)).select(
+    return found.where("__fits").select(
         *(F.col("__lang").alias(c) if c == "lang" else F.col(c) for c in columns))
 
 
