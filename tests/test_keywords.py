@@ -1,7 +1,10 @@
+import re
+
 import pandas as pd
 from pyspark.sql import functions as F
 
-from storyflow.operators import keywords as K
+from storyflow.operators import keywords as K, vectors as V
+from storyflow.plans import queries as Q
 
 SIGNAL = "id long, keyword string, signal string, confidence double, ordinal int"
 
@@ -68,3 +71,31 @@ def test_a_lexicon_table_finds_what_literals_find(spark):
     for mode in ("word", "suffix"):
         want = {(r.id, r.keyword) for r in K.lexicon_match(texts, words, mode).collect()}
         assert {(r.id, r.keyword) for r in K.lexicon_join(texts, lexicon, mode=mode).collect()} == want and want
+
+
+def test_weights_are_the_same_however_few_terms_are_copied(spark, monkeypatch):
+    texts = [(1, "red green green blue"), (2, "red red violet"), (3, "amber"), (4, "the of"), (5, "red blue teal")]
+    docs = spark.createDataFrame(texts, "id long, text string")
+
+    def weights(hot):
+        monkeypatch.setattr(V, "HOT", hot)
+        return {(r.id, x.term, x.df, round(x.w, 12)) for r in V.tfidf(docs, "id").collect() for x in r.vec}
+
+    want = weights(100)
+    assert {i for i, *_ in want} == {1, 2, 3, 5} and len(want) == 9
+    assert weights(1) == want and weights(3) == want
+
+
+def test_steps_by_text_shuffle_whole_texts_only(spark, tmp_path):
+    docs = spark.createDataFrame([(n, f"Big Fox {n} saw the war zone", "x", "en", 9) for n in range(20)], "doc_id long, text string, source string, lang string, n_chars long")
+    docs.repartition(10).write.parquet(f"{tmp_path}/documents.parquet")  # as many files as make `spread` leave them where they are
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, key in {"keyword_ranking": "id", "keyword_fusion": "id", "tfidf_weights": "id", "pos_filter": "id", "sections_until_word": "menu",
+                          "sections_until_repeat": "menu", "last_wins_section": "menu"}.items():
+            plan = Q.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+            moved = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+            assert moved and all(re.fullmatch(rf"{key}#\d+L?, \d+", keys) for keys in moved), (name, moved)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
