@@ -175,7 +175,7 @@ def sections_until(nav: DataFrame, rule: SectionRule, scope: list[str]) -> DataF
         return rows
     end = flagged.groupBy(*scope).agg(F.min("pos").alias("end"))
     inside = F.col("end").isNull() | (F.col("pos") <= F.col("end") if rule.stop_inclusive else F.col("pos") < F.col("end"))
-    return rows.join(end, scope, "left").where(inside).drop("end")
+    return rows.join(end.hint("shuffle_hash"), scope, "left").where(inside).drop("end")  # so the rows are not sorted
 
 
 def last_wins(nav: DataFrame, scope: list[str]) -> DataFrame:

@@ -96,6 +96,16 @@ def test_steps_by_text_shuffle_whole_texts_only(spark, tmp_path):
                           "sections_until_repeat": "menu", "last_wins_section": "menu"}.items():
             plan = Q.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
             moved = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+            assert name != "sections_until_word" or " Sort [menu#" not in plan, plan
             assert moved and all(re.fullmatch(rf"{key}#\d+L?, \d+", keys) for keys in moved), (name, moved)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_tasks_of_placed_texts_do_not_grow(spark, monkeypatch):
+    from storyflow import runtime
+
+    rows = spark.range(1000).withColumn("text", F.lit("a"))
+    monkeypatch.setattr(runtime, "TOGETHER", 50)
+    assert runtime.together(rows, "id").rdd.getNumPartitions() == 20
+    assert runtime.together(rows.union(rows), "id").groupBy("id").count().where("count <> 2").isEmpty()
