@@ -16,7 +16,7 @@ from ..config import FreshParams, StoryParams, SummaryParams
 from ..functions import dates as D, html as H, text as T
 from ..operators import cards as E, clusters as C, components as G, groups as R, keywords as K, listing as L, load as N
 from ..operators import pages as P, rouge as Q, similarity as S, summary as Z, vectors as V
-from ..runtime import cut, scratch_path, spread, table, together
+from ..runtime import cut, dealt, scratch_path, spread, table, together
 from ..sources import files as I
 from ..sources.tables import Tables, new_rows
 from ..streaming import ingest as X
@@ -51,6 +51,11 @@ def _pages(spark: SparkSession, folder: str) -> DataFrame:
     return spread(table(spark, folder, "pages"))
 
 
+def _dealt_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages in small tasks, for queries that make several of each."""
+    return dealt(table(spark, folder, "pages"), 512)
+
+
 def _r(c, places: int = 6) -> Column:
     return F.round(c, places)
 
@@ -216,7 +221,7 @@ def page_body_by_source(spark, folder):
         "FOX": ('<div class="article-body"><div>x</div>', "</div>"), "NPR": ('<div id="storytext">', "</div>"),
         "AP": ('<div class="Page-content">', "</div>"), "CBS": ('<section class="content__body">', "</section>"),
         "NYT": ("<article>", "</article>"), "OTHER": ("<article>", "</article>")}
-    pages = _pages(spark, folder)
+    pages = _dealt_pages(spark, folder)
     source = F.explode(F.array(*(F.lit(s) for s in wrap))).alias("source")
     rows = pages.select("page_id", "html", source)
     html = F.col("html")
@@ -247,7 +252,7 @@ CARDS = {
 
 def _cards(spark, folder) -> DataFrame:
     """Every page as a listing of every source: each link of its navigation is a card, AP's after two segments of its head."""
-    pages = _pages(spark, folder).select(
+    pages = _dealt_pages(spark, folder).select(
         "page_id", F.col("url").alias("section_url"), F.lit("front").alias("section"), "html", F.explode(F.array(*(F.lit(s) for s in CARDS))).alias("source"))
     html = F.col("html")
     for name, card in CARDS.items():

@@ -61,3 +61,13 @@ def test_sections(spark):
         got.setdefault(r.source, []).append((r.section, r.url[-1]))
     assert got == {"FOX": [("US", "0"), ("World", "1")], "CNN": [("US", "2"), ("World", "1")],
                    "AP": [("US", "0"), ("Religion", "1")], "NYT": [("US", "2")], "CBS": [("US", "1")]}
+
+
+def test_page_tasks_do_not_grow_with_a_file(spark, tmp_path):
+    from storyflow.plans.queries import _dealt_pages
+
+    pages = spark.range(5000).selectExpr("id AS page_id", "concat('https://a.example.org/', id) AS url", "'<p>x</p>' AS html")
+    pages.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = _dealt_pages(spark, str(tmp_path))
+    sizes = got.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(sizes) == 5000 and max(sizes) <= 600
