@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import Memo, coded, forget, int_lists, kept, slices, spliced, strings, trimmed
 
 SHORT = 100  # parts; longer words go through the heap
+SLICE = 2 << 20  # bytes of text encoded at once; a longer text is a slice of its own
+TOKENS = 1 << 18  # tokens decoded at once; a longer list is a slice of its own
 NEVER = 1 << 60
 
 
@@ -167,7 +169,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget("word encoder", "token names")
         enc = encoder(path)
-        for batch in slices(batches, "__text"):
+        for batch in slices(batches, "__text", SLICE):
             lists = int_lists(*enc.encode_all(batch.column("__text")))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), lists], names=[*keep, ids])
             del lists
@@ -180,6 +182,17 @@ def _names(path: str) -> pa.Array:
     return kept("token names", path, lambda: pa.array(Ranks(path).names))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = TOKENS) -> Iterator[pa.RecordBatch]:
+    """Cut incoming batches so that the lists of ``column`` hold about ``limit`` tokens, however many rows a batch has."""
+    for batch in batches:
+        at, start = batch.column(column).offsets.to_numpy(), 0
+        while start < batch.num_rows:
+            stop = max(int(np.searchsorted(at, at[start] + limit, side="right")) - 1, start + 1)
+            stop = min(stop, batch.num_rows)
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Add ``text``: the names of the tokens in ``ids``, special ones too, parted by one blank, as a file
     without decoder prescribes. A null or empty array gives the empty text; ids outside the file give nothing.
@@ -187,19 +200,22 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
     out = T.StructType([*docs.schema.fields, T.StructField(text, T.StringType(), False)])
     columns = docs.columns
 
+    def joined(lists: pa.ListArray, names: pa.Array) -> pa.Array:
+        if lists.null_count:
+            lists = pa.array([x or [] for x in lists.to_pylist()], pa.list_(pa.int32()))
+        flat, at = lists.flatten(), lists.offsets.to_numpy()
+        good = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(names)))
+        if flat.null_count or not pc.all(good).as_py():
+            lists = pa.array([[i for i in x if i is not None and 0 <= i < len(names)] for x in lists.to_pylist()], pa.list_(pa.int32()))
+            flat, at = lists.flatten(), lists.offsets.to_numpy()
+        words = pa.ListArray.from_arrays(pa.array((at - at[0]).astype(np.int32)), names.take(flat)) if len(flat) else None
+        return pc.binary_join(words, " ") if words is not None else pa.array([""] * len(lists))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget("word encoder", "token names")
         names = _names(path)
-        for batch in batches:
-            lists = batch.column(ids)
-            if lists.null_count:
-                lists = pa.array([x or [] for x in lists.to_pylist()], pa.list_(pa.int32()))
-            flat, at = lists.flatten(), lists.offsets.to_numpy()
-            good = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(names)))
-            if flat.null_count or not pc.all(good).as_py():
-                lists = pa.array([[i for i in x if i is not None and 0 <= i < len(names)] for x in lists.to_pylist()], pa.list_(pa.int32()))
-                flat, at = lists.flatten(), lists.offsets.to_numpy()
-            words = pa.ListArray.from_arrays(pa.array((at - at[0]).astype(np.int32)), names.take(flat)) if len(flat) else None
-            joined = pc.binary_join(words, " ") if words is not None else pa.array([""] * batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, joined], names=[*columns, text])
+        for batch in _slices(batches, ids):
+            yield pa.RecordBatch.from_arrays([*batch.columns, joined(batch.column(ids), names)], names=[*columns, text])
+            trimmed()
 
     return docs.mapInArrow(run, out)

@@ -109,3 +109,16 @@ def test_token_file_in_id_order(spark, documents, monkeypatch, tmp_path):
 
 def test_the_byte_symbols_cover_the_vocabulary():
     assert len(set(bpe.byte_symbols())) == 256 and public_tokenizers.path("byte_bpe_50k.json") == BYTE_BPE
+
+
+def test_what_is_decoded_at_once_does_not_grow_with_a_batch():
+    """A batch of ten thousand long lists came out as one batch of all their texts."""
+    import types
+
+    ids = pa.array([[320] * 1000] * 3000 + [None, [], [320] * (bpe.TOKENS + 5)], pa.list_(pa.int32()))
+    frame = types.SimpleNamespace(schema=types.SimpleNamespace(fields=[]), columns=["ids"], mapInArrow=lambda run, out: run)
+    got = list(bpe.decode(frame, WORD_BPE)(iter([pa.record_batch([ids], ["ids"])])))
+    assert max(len(b.column("ids").flatten()) for b in got if b.num_rows > 1) <= bpe.TOKENS and len(got) > 11
+    assert pa.concat_arrays([b.column("ids") for b in got]).equals(ids)
+    texts = [t for b in got for t in b.column("decoded").to_pylist()]
+    assert texts == [" ".join(["a</w>"] * len(x or [])) for x in ids.to_pylist()]
