@@ -1,8 +1,10 @@
+import random
 import re
 
 import pandas as pd
 from pyspark.sql import functions as F
 
+from storyflow.functions import text as T
 from storyflow.operators import keywords as K, vectors as V
 from storyflow.plans import queries as Q
 
@@ -109,3 +111,23 @@ def test_tasks_of_placed_texts_do_not_grow(spark, monkeypatch):
     monkeypatch.setattr(runtime, "TOGETHER", 50)
     assert runtime.together(rows, "id").rdd.getNumPartitions() == 20
     assert runtime.together(rows.union(rows), "id").groupBy("id").count().where("count <> 2").isEmpty()
+
+
+def test_lexicon_hits_equal_a_search_per_entry_and_read_the_text_once(spark):
+    """Before, each entry was looked for twice in the whole text."""
+    rng = random.Random(4)
+    words = ["x", "netflix", "fl", "world cup", "world", "cup final", "a b", "a", "b", "u.s.", "it's", "ñu", "😀", "(z", "d\te", "e"]
+    parts = [*words, " ", " ", " ", "  ", "\n", "\t", "\r", "\x0b", "\x85", "-", ".", "X", "cup", "final", "d", "É", "日"]
+    rows = [(n, "".join(rng.choices(parts, k=rng.randint(0, 12)))) for n in range(1500)] + [(1500, None), (1501, ""), (1502, "netflix\nx")]
+    texts = spark.createDataFrame(rows, "id int, text string").withColumn("key", T.headline_key(F.col("text"))).cache()
+    for mode in ("suffix", "word"):
+        got = {r.id: r.hits for r in texts.select("id", K.lexicon_hits(F.col("text"), words, mode).alias("hits")).collect()}
+        for r in texts.collect():
+            key = r.key or ""
+            flat = " " + re.sub(r"[\t\n\x0b\f\r]", " ", key) + " "
+            split = f" {' '.join(w for w in re.split(r'[ \t\n\x0b\f\r]+', key) if w)} "
+            want = [k for k in words if (f" {k} " in split if mode == "word" else k + " " in key or " " not in k and f" {k} " in flat)]
+            assert got[r.id] == (want if r.key is not None else []), (mode, r)
+        plan = texts.select(K.lexicon_hits(F.col("text"), words, mode))._jdf.queryExecution().analyzed().toString()
+        assert "Contains(" not in plan and " contains(" not in plan.lower().replace("array_contains(", ""), plan
+    texts.unpersist()
