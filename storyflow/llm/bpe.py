@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import Memo, coded, forget, int_lists, kept, slices, spliced, strings, trimmed
+from .common import Memo, coded, forget, int_lists, kept, slices, spliced, strings, tidy, trimmed
 
 SHORT = 100  # parts; longer words go through the heap
 SLICE = 2 << 20  # bytes of text encoded at once; a longer text is a slice of its own
@@ -175,7 +175,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
             del lists
             trimmed()
 
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(tidy(run), out)
 
 
 def _names(path: str) -> pa.Array:
@@ -218,4 +218,4 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
             yield pa.RecordBatch.from_arrays([*batch.columns, joined(batch.column(ids), names)], names=[*columns, text])
             trimmed()
 
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(tidy(run), out)

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..operators.components import components
-from ..runtime import cut
-from .common import bytes_of, kept, mixed, slices
+from ..runtime import cut, dealt
+from .common import TEXTS, bytes_of, kept, mixed, slices, tidy
 
 SHINGLE = 5  # words
 SIMILAR = 85  # percent, unless told otherwise: links have 100 * intersection >= SIMILAR * union
@@ -166,7 +166,7 @@ def _keys(sets: list[np.ndarray]) -> list[bytes | None]:
 
 def described(docs: DataFrame, keep: list[str], text: str, n_bands: int = BANDS) -> DataFrame:
     """``keep`` columns, the key and size of each document's set, its ``n_bands`` buckets and its sketch."""
-    rows = docs.select(*keep, F.col(text).alias("__text"))
+    rows = dealt(docs.select(*keep, F.col(text).alias("__text")), TEXTS)
     out = T.StructType([*rows.drop("__text").schema.fields, *DOCS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +179,7 @@ def described(docs: DataFrame, keep: list[str], text: str, n_bands: int = BANDS)
                 *(batch.column(c) for c in keep), pa.array(_keys(sets), pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
                 bands, pa.array([x.tobytes() for x in sketch], pa.binary())], names=out.names)
 
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(tidy(run), out)
 
 
 def _join(part: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -282,7 +282,7 @@ def _by_blocks(rows: DataFrame, find: Callable[[pa.Table], pa.RecordBatch]) -> D
         if held:
             yield find(pa.Table.from_batches(held))
 
-    return dealt.mapInArrow(run, LINKS)
+    return dealt.mapInArrow(tidy(run), LINKS)
 
 
 def ties(members: DataFrame, similar: int = SIMILAR) -> DataFrame:
@@ -453,5 +453,5 @@ def _with_sets(placed: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFram
             yield pa.RecordBatch.from_arrays([
                 pa.array(_keys(sets), pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["key", "set"])
 
-    sets = some.mapInArrow(run, "key binary, set binary").dropDuplicates(["key"])
+    sets = some.mapInArrow(tidy(run), "key binary, set binary").dropDuplicates(["key"])
     return placed.join(sets, "key").join(nodes.select("key", "sketch"), "key")

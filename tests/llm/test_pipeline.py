@@ -125,3 +125,14 @@ def test_the_language_stage_rejects_other_scripts(spark, documents, corpus):
     odd = [(400, "これは日本語の文章です。今日は天気がいい" * 4, None, "b"), (401, "Сегодня хорошая погода и мы пошли гулять " * 4, None, "b")]
     kept = {r.doc_id for r in pipeline.identify_language(spark, documents(corpus + odd), "").collect()}
     assert kept == {r[0] for r in corpus} - {300, 301, 302}
+
+
+def test_the_python_steps_read_few_texts_at_once(spark, tmp_path):
+    """A file was one batch of up to ten thousand whole texts, on both sides of the pipe."""
+    n = 2_000 * (spark.sparkContext.defaultParallelism + 1)
+    spark.range(n).coalesce(1).selectExpr(
+        "id AS doc_id", "concat('word ', id) AS text", "CAST(null AS string) AS lang", "'s' AS source", "9L AS n_chars").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    for done in (pipeline.identify_language(spark, docs, ""), near_dup.described(docs, ["doc_id"], "text"), pipeline.encode_ids(spark, docs, "")):
+        sizes = [r["count"] for r in done.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == n and max(sizes) <= 2_000

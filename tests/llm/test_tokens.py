@@ -122,3 +122,20 @@ def test_what_is_decoded_at_once_does_not_grow_with_a_batch():
     assert pa.concat_arrays([b.column("ids") for b in got]).equals(ids)
     texts = [t for b in got for t in b.column("decoded").to_pylist()]
     assert texts == [" ".join(["a</w>"] * len(x or [])) for x in ids.to_pylist()]
+
+
+def test_a_worker_that_is_through_holds_no_batch(monkeypatch):
+    """Workers outlive their stage; the last batch stayed with them while the next stage ran."""
+    import types
+
+    from storyflow.llm import common
+
+    held, ids = [], [320] * 1000
+    for module in (bpe, common):
+        monkeypatch.setattr(module, "trimmed", lambda: held.append(pa.total_allocated_bytes()))
+    frame = types.SimpleNamespace(schema=types.SimpleNamespace(fields=[]), columns=["ids"], mapInArrow=lambda run, out: run)
+    assert [b.num_rows for b in bpe.decode(frame, WORD_BPE)(iter([]))] == []
+    before, rows = pa.total_allocated_bytes(), 0
+    for batch in bpe.decode(frame, WORD_BPE)(pa.record_batch([pa.array([ids] * 3000, pa.list_(pa.int32()))], ["ids"]) for _ in range(2)):
+        rows += batch.num_rows  # the last one is still held, as Spark's writer holds it
+    assert rows == 6000 and held[-1] - before < 1 << 20
