@@ -43,8 +43,8 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, r"\s+"), lambda w: w != "")
 
 
-# What parts two tokens: no word character, no hyphen inside a token.
-BETWEEN = rf"(?:[^{WORD}-]+|(?<![{WORD}-])-+|-+(?![{WORD}-]))+"
+# What parts two tokens: no word character, no hyphen inside a token. Possessive at the end, else Java recurses once a turn of the group.
+BETWEEN = rf"(?:[^{WORD}-]+|(?<![{WORD}-])-+|-+(?![{WORD}-]))++"
 
 
 def token_stream(c: Column) -> Column:

@@ -133,7 +133,8 @@ def keyword_lists(ranked: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- built-in signals
 
-SPAN = r"[A-Z][a-z]+(?: [A-Z][a-z]+)+"
+# The last + is possessive: nothing follows, so nothing is to be given back, and Java walks a run of any length without recursion.
+SPAN = r"[A-Z][a-z]+(?: [A-Z][a-z]+)++"
 
 
 def word_signal(texts: DataFrame, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:

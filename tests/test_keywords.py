@@ -131,3 +131,24 @@ def test_lexicon_hits_equal_a_search_per_entry_and_read_the_text_once(spark):
         plan = texts.select(K.lexicon_hits(F.col("text"), words, mode))._jdf.queryExecution().analyzed().toString()
         assert "Contains(" not in plan and " contains(" not in plan.lower().replace("array_contains(", ""), plan
     texts.unpersist()
+
+
+def test_long_runs_do_not_exhaust_the_stack(spark):
+    """Thousands of capitalised words, or of lone hyphens, in a row: a pattern that recurses once a turn fails on some 2,000."""
+    n = 20_000
+    rows = spark.createDataFrame([(1, "Ab Cd " * n + "y"), (2, "a " + "- " * n + "B- -c d-e")], "id long, text string").repartition(2)
+    spans = K.span_signal(rows).collect()
+    assert [(r.id, len(r.keyword)) for r in spans] == [(1, 6 * n - 1)]
+    assert [r.y for r in rows.where("id = 2").select(T.tokens(F.col("text")).alias("y")).collect()] == [["a", "b", "c", "d-e"]]
+    found = K.fuse_keywords(K.word_signal(rows).unionByName(K.span_signal(rows)).unionByName(K.lexicon_signal(rows)))
+    assert {r.keyword for r in found.where("id = 1").select("keyword").collect()} == {"ab", "cd", ("ab cd " * n).strip()}
+
+
+def test_possessive_patterns_match_as_before(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ABab -!_.é") for _ in range(60)) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    plain = lambda p: p[:-1]
+    got = rows.select("id", F.regexp_extract_all("text", F.lit(K.SPAN), F.lit(0)).alias("new"), F.regexp_extract_all("text", F.lit(plain(K.SPAN)), F.lit(0)).alias("old"),
+                      F.regexp_replace("text", T.BETWEEN, " ").alias("a"), F.regexp_replace("text", plain(T.BETWEEN), " ").alias("b")).collect()
+    assert all(r.new == r.old and r.a == r.b for r in got) and any(r.new for r in got)
